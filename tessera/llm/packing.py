@@ -222,11 +222,11 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset), one row for each piece.
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset, copy), one row for each piece.
 
     ids: the piece's token ids as little-endian unsigned 32-bit integers. A document's ids are its text's (null: none)
     and the end id, so each has one piece at least. Sequences have ``window`` ids or a power of two of them. Each row of
-    ``docs`` is a document: repeated rows are packed each, and a null id stays null. An empty table gives no pieces.
+    ``docs`` is a document: repeated rows are packed each and numbered by ``copy``, and a null id stays null. An empty table gives no pieces.
     """
     rows = doc_frame(docs, id_col, text_col)
     tokens = written(tokenize(rows.withColumn("place", F.xxhash64("text", "doc_id")), path), "tokens")
@@ -240,7 +240,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         sequence = TaskContext.get().partitionId() << 32
-        held: list[tuple[int | None, np.ndarray, int]] = []  # (document, ids, ids of it that went into earlier shards)
+        held: list[tuple] = []  # (document, its copy, ids, ids of it that went into earlier shards)
 
         def rows_of(sequences: list[list[tuple[int, int, int]]]) -> Iterator[list[tuple]]:
             nonlocal sequence
@@ -248,8 +248,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             for pieces in sequences:
                 offset = 0
                 for i, at, n in pieces:
-                    doc, x, begun = held[i]
-                    out.append((doc, begun + at, n, x[at : at + n].astype("<u4").tobytes(), begun + len(x), sequence, offset))
+                    doc, copy, x, begun = held[i]
+                    out.append((doc, begun + at, n, x[at : at + n].astype("<u4").tobytes(), begun + len(x), sequence, offset, copy))
                     offset += n
                 sequence += 1
                 if len(out) >= 4000:
@@ -257,21 +257,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     out = []
             yield out
 
-        size = 0
+        size, copy, last = 0, 0, None
         for batch in batches:
-            for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                held.append((d, np.frombuffer(x, "<u2"), 0))
+            for d, place, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "ids"))):
+                copy = copy + 1 if last == (place, d) else 0
+                last = place, d
+                held.append((d, copy, np.frombuffer(x, "<u2"), 0))
                 size += len(x) // 2
                 if size >= 2 * shard_tokens:
-                    full, rest = pack_shard([x for _, x, _ in held], shared.value, mean, window)
+                    full, rest = pack_shard([x for _, _, x, _ in held], shared.value, mean, window)
                     yield from rows_of(full)
                     # The last pieces run to their documents' ends, so they go on as documents of the next shard.
-                    held = [(held[i][0], held[i][1][at:], held[i][2] + at) for i, at, _ in rest]
-                    size = sum(len(x) for _, x, _ in held)
+                    held = [(*held[i][:2], held[i][2][at:], held[i][3] + at) for i, at, _ in rest]
+                    size = sum(len(x) for _, _, x, _ in held)
         if held:
-            full, rest = pack_shard([x for _, x, _ in held], shared.value, mean, window)
+            full, rest = pack_shard([x for _, _, x, _ in held], shared.value, mean, window)
             yield from rows_of(full + powers_of_two(rest))
 
     order = ("first", "second", "place", "doc_id")
-    dealt = tokens.repartitionByRange(int(shards), *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    return arrow_map(dealt, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    dealt = tokens.repartitionByRange(int(shards), *order).sortWithinPartitions(*order).select("doc_id", "place", "ids")
+    return arrow_map(dealt, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, copy long")
