@@ -21,8 +21,10 @@ ORDER = 4
 BITS = 6
 END = 63
 #: Band half-widths beyond the quartiles, in interquartile ranges of the log perplexity, and their least value.
-FENCE = 3.0
-LEAST_WIDTH = 0.35
+FENCE = 4.0
+LEAST_WIDTH = 0.4
+#: A text with more of the symbols than this share of its bytes is scored, but the model does not learn from it.
+MOST_SYMBOLS_PERCENT = 5
 #: Rules of the base verdict.
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -79,13 +81,20 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], begins
 
 
+_NOT_SYMBOL = bytes(b for b in range(256) if b not in _SYMBOLS)
+
+
+def n_symbols(text: bytes) -> int:
+    return len(text.translate(None, _NOT_SYMBOL))
+
+
 def count_ngrams(rows: DataFrame) -> DataFrame:
-    """(code, n) over all rows of (doc_id, text): summed in each task, then by Spark."""
+    """(code, n) over all rows of (doc_id, text) that are not full of symbols: summed in each task, then by Spark."""
 
     def count(batches):
         total = np.zeros(1 << BITS * ORDER, np.int32)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = [t for t in batch.column("text").to_pylist() if 100 * n_symbols(t) <= MOST_SYMBOLS_PERCENT * len(t)]
             if texts:
                 np.add.at(total, codes(texts)[0], 1)
         at = np.flatnonzero(total)
@@ -165,7 +174,7 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of all texts. Its counts reach the driver: at most 64^4 of them, whatever the corpus."""
+    """The model of the texts. Its counts reach the driver: at most 64^4 of them, whatever the corpus."""
     counts = count_ngrams(doc_frame(docs, id_col, text_col)).toArrow()
     code, n = (counts.column(c).to_numpy() for c in ("code", "n"))
     order = np.argsort(code)
@@ -193,15 +202,12 @@ class Scorer:
         return (-np.add.reduceat(p.astype(np.float64), begins) / lengths).tolist()
 
 
-_NOT_SYMBOL = bytes(b for b in range(256) if b not in _SYMBOLS)
-
-
 def base_statistics(text: bytes) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
     words = text.split()
     n = len(words)
     chars = code_points(b"".join(words))
-    symbols = len(text.translate(None, _NOT_SYMBOL))
+    symbols = n_symbols(text)
     seen: set[bytes] = set()
     dup = 0
     for line in text.split(b"\n"):
