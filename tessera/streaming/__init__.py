@@ -1,0 +1,5 @@
+"""Streams need no operators of their own: the engine only ever emits lazy DataFrames.
+
+A streaming DataFrame that is registered in a :class:`tessera.sources.catalog.Catalog` can be filtered and projected by a
+query, and :attr:`tessera.plans.execute.Result.dataframe` is then the stream to write.
+"""
