@@ -6,9 +6,9 @@ differs in at most floor(d / m) of its own, so indexing every chunk with each al
 every such pair: with K = 48, m = 9, d = 17 that is every pair under the distance, and two documents at similarity 0.85
 are further apart with a chance of about 1 in 10,000.
 
-Groups of copies are never expanded into all pairs. A bucket's members are first compared with its hub alone; only
-members which that leaves outside the bucket's main component are compared with the others, so every candidate pair ends
-either compared on full sets or inside one component.
+Groups of copies are never expanded into all pairs. A bucket's members are first compared with its hub alone. Buckets
+that share members form clusters; only members which the hubs leave outside their cluster's main component are compared
+with the others, so every pair under the distance ends either compared on full sets or inside one component.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .common import discard, doc_frame, per_row, written
 WIDTH = 5
 PERCENT = 85
 COMPONENTS, CHUNKS = 48, 9
-#: Members of a bucket that one task compares with each other.
-BLOCK = 1024
+#: Members of a cluster, and bytes of their texts, that one task compares with as many others.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -134,6 +134,16 @@ def _near(pairs: DataFrame, signatures: DataFrame, most: int) -> DataFrame:
     return per_row(both, lambda a, b, x, y: [(a, b)] if _distance(x, y) <= most else [], "a long, b long", many=True)
 
 
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of sorted distinct hashes."""
+    small, large = (s, t) if len(s) < len(t) else (t, s)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int(np.count_nonzero(large[at] == small))
+    return 100 * common >= percent * (len(s) + len(t) - common)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those (a, b) whose full sets have 100 * intersection >= percent * union."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -144,11 +154,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     def linked(a, b, x, y):
         if last["b"] != b:
             last["b"], last["set"] = b, shingles(y, width)
-        s, t = shingles(x, width), last["set"]
-        small, large = (s, t) if len(s) < len(t) else (t, s)
-        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-        common = int(np.count_nonzero(large[at] == small))
-        return [(a, b)] if 100 * common >= percent * (len(s) + len(t) - common) else []
+        return [(a, b)] if similar(shingles(x, width), last["set"], percent) else []
 
     return per_row(both, linked, "a long, b long", many=True)
 
@@ -177,35 +183,51 @@ def components(links: DataFrame) -> DataFrame:
             return out
 
 
-def _rest(members: DataFrame, labels: DataFrame, signatures: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) in different components that share a bucket, at signature distance ``most`` or less.
+def _rest(clusters: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, most: int, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one cluster.
 
-    Each member outside its bucket's main component meets every member of another component, block against block, so no
-    task holds more than two blocks of a bucket whatever its size.
+    Each member outside its cluster's main component meets every member of another component, block against block, so no
+    task holds more than two blocks of a cluster whatever its size. Members at signature distance ``most`` or less are
+    compared on full sets where they meet; only links leave the task, one for a member and component at most.
     """
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    open_ = placed.join(sizes.where("kinds > 1"), "key").join(signatures, "node").select("key", "node", "label", "signature", "n", "main")
-    open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = clusters.withColumnRenamed("label", "cluster").join(labels, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("label"))
+    of = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("n", "label")).alias("main")).where("kinds > 1").select("cluster", "main")
+    rows = placed.join(open_, "cluster").join(nodes.select("node", "signature"), "node").join(texts, "node").select("cluster", "node", "label", "main", "signature", "text")
+    rows = written(rows, "open")
+    size = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = rows.join(size, "cluster")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    few = open_.where("label <> main").select("key", mine.alias("i"), F.explode(every).alias("j"), "node", "label", "signature", F.lit(True).alias("few"))
-    all_ = open_.select("key", F.explode(every).alias("i"), mine.alias("j"), "node", "label", "signature", F.lit(False).alias("few"))
+    few = rows.where("label <> main").select("cluster", mine.alias("i"), F.explode(every).alias("j"), "node", "label", "signature", "text", F.lit(True).alias("few"))
+    all_ = rows.select("cluster", F.explode(every).alias("i"), mine.alias("j"), "node", "label", "signature", "text", F.lit(False).alias("few"))
 
     def compare(table: pa.Table) -> pa.Table:
         label, node = table.column("label").to_numpy(), table.column("node").to_numpy()
-        few = table.column("few").to_numpy()
+        few = table.column("few").to_numpy(zero_copy_only=False)
+        text = table.column("text")
         s = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
-        found = []
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(text[k].as_py(), width)
+            return sets[k]
+
+        found: list[tuple[int, int]] = []
         others = np.flatnonzero(~few)
-        for x in np.flatnonzero(few):
+        for x in np.flatnonzero(few).tolist():
             y = others[label[others] != label[x]]
-            y = y[(s[y] != s[x]).sum(axis=1) <= most]
-            found += [(min(node[x], n), max(node[x], n)) for n in node[y].tolist()]
-        found = sorted(set(found))
+            apart = (s[y] != s[x]).sum(axis=1)
+            near = np.flatnonzero(apart <= most)
+            met: set[int] = set()
+            for k in y[near[np.argsort(apart[near], kind="stable")]].tolist():
+                if int(label[k]) not in met and similar(set_of(x), set_of(k), percent):
+                    met.add(int(label[k]))
+                    found.append((int(node[x]), int(node[k])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return few.union(all_).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return few.union(all_).groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, k: int = COMPONENTS, chunks: int = CHUNKS) -> DataFrame:
@@ -243,13 +265,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = written(_confirmed(pairs, texts, width, percent), "links")
     labels = components(links)
-    more = written(_rest(members.select("key", "node"), labels, signatures, most).join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        late = _confirmed(more, texts, width, percent)
-        # Components so far stand for their links.
-        links = written(links.union(late), "links")
+    meets = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(members.join(buckets.select("key", "low"), "key").select("node", "low"))
+    clusters = components(meets.distinct())
+    late = written(_rest(clusters, labels, nodes, texts, most, width, percent), "late")
+    if late.limit(1).count():
         discard(labels)
-        labels = components(links)
+        labels = components(links.union(late))
+    discard(clusters, late, links)
     discard(texts, members, buckets, pairs)
 
     placed = signed.join(labels, "node", "left").select("doc_id", "digest", "n_shingles", F.coalesce("label", "node").alias("label"))
