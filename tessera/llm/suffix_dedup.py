@@ -28,9 +28,10 @@ from .common import arrow_map, discard, doc_frame, per_row, written
 LENGTH = 200
 GRAM = 48
 #: Bytes that are anchored at once, and bytes that one transform holds.
-SEGMENT, TRANSFORM = 1 << 18, 1 << 20
-#: Different regions of one anchor beyond which it is cut into windows.
-MANY_REGIONS = 8192
+SEGMENT, TRANSFORM = 1 << 18, 1 << 19
+#: Different regions of one anchor beyond which it is cut into windows; with the bytes that a region has at most, they
+#: bound what a transform holds beyond TRANSFORM.
+MANY_REGIONS = 2048
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -148,26 +149,26 @@ def sort_rotations(s: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(min(8, depth)):
         key = key << np.uint64(8) | wide[k : n + k]
-    order = np.argsort(key)
-    edge = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    group = np.flatnonzero(edge)[np.cumsum(edge) - 1]
-    rank = np.empty(n, np.int64)
-    rank[order] = group
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    edge = np.concatenate(([True], key[1:] != key[:-1]))
+    del key, wide
+    rank = np.empty(n, np.int32)
+    rank[order] = np.flatnonzero(edge)[np.cumsum(edge, dtype=np.int32) - 1]
     done = min(8, depth)
     while done < depth:
         step = min(done, depth - done)
-        single = edge & np.append(edge[1:], True)
-        slots = np.flatnonzero(~single)
+        slots = np.flatnonzero(~(edge & np.append(edge[1:], True))).astype(np.int32)
         if not len(slots):
             break
         at = order[slots]
-        key = rank[at] * n + rank[(at + step) % n]
+        key = rank[at].astype(np.int64) * n + rank[(at + step) % n]
         by = np.argsort(key)
-        order[slots] = at[by]
-        key = key[by]
+        at, key = at[by], key[by]
+        order[slots] = at
         edge[slots] = np.concatenate(([True], key[1:] != key[:-1]))
-        group = np.flatnonzero(edge)[np.cumsum(edge) - 1]
-        rank[order[slots]] = group[slots]
+        starts = slots[edge[slots]]  # every group of equals lies within these slots
+        rank[at] = starts[np.cumsum(edge[slots], dtype=np.int32) - 1]
         done += step
     return order
 
@@ -182,22 +183,28 @@ def undivided(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     order = sort_rotations(s, depth)
     last = s[order - 1]  # rotation 0 is preceded by the last byte
     by = np.argsort(last, kind="stable")
-    forward = np.empty(n, np.int64)
-    forward[by] = np.arange(n)
+    forward = np.empty(n, np.int32)
+    forward[by] = np.arange(n, dtype=np.int32)
     first = last[by]
+    del by
     bound = np.zeros(n + 1, bool)
     bound[0] = bound[n] = True
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(depth):
         if not len(low):
             break
         size = high - low
-        owner = np.repeat(np.arange(len(low)), size)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        owner = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        inside = np.arange(len(owner), dtype=np.int32) + np.repeat((low - np.cumsum(size) + size).astype(np.int32), size)
         # Intervals stand in order, so sorting stably by the preceding byte sorts what they map to.
         turn = np.argsort(last[inside], kind="stable")
         to, owner = forward[inside[turn]], owner[turn]
-        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (first[to[1:]] != first[to[:-1]])))
+        del inside, turn
+        new = np.empty(len(to), bool)
+        new[0] = True
+        new[1:] = owner[1:] != owner[:-1]
+        symbol = first[to]
+        new[1:] |= symbol[1:] != symbol[:-1]
         begin = np.flatnonzero(new)
         end = to[np.append(begin[1:], len(to)) - 1] + 1
         fresh = ~bound[end]
@@ -211,11 +218,11 @@ def repeated(regions: list[bytes], copies: np.ndarray, length: int = LENGTH) ->
     s = np.frombuffer(b"\xff".join([*regions, b""]), np.uint8)  # the byte 255 is in no UTF-8 text
     sizes = np.array([len(x) for x in regions], np.int64)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
-    weight = np.zeros(len(s), np.int64)
+    weight = np.zeros(len(s), np.int32)
     for a, n, k in zip(starts.tolist(), sizes.tolist(), copies.tolist()):
-        weight[a : a + max(0, n - length + 1)] = k
+        weight[a : a + max(0, n - length + 1)] = min(k, 2)
     order, begins = undivided(s, length)
-    total = np.add.reduceat(weight[order], np.flatnonzero(begins))
+    total = np.add.reduceat(weight[order], np.flatnonzero(begins), dtype=np.int64)
     twice = np.empty(len(s), bool)
     twice[order] = (total >= 2)[np.cumsum(begins) - 1]
     return [twice[a : a + max(0, n - length + 1)] for a, n in zip(starts.tolist(), sizes.tolist())]
