@@ -31,7 +31,7 @@ GRAM = 48
 SEGMENT, TRANSFORM = 1 << 18, 1 << 19
 #: Different regions of one anchor beyond which it is cut into windows; with the bytes that a region has at most, they
 #: bound what a transform holds beyond TRANSFORM.
-MANY_REGIONS = 2048
+MANY_REGIONS = 8192
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -142,8 +142,11 @@ def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.select("doc_id", "tag", "text").mapInArrow(run, ANCHORS)
 
 
-def sort_rotations(s: np.ndarray, depth: int) -> np.ndarray:
-    """The rotations of ``s`` in order of their first ``depth`` bytes, by doubling; those still equal in any order."""
+def sort_rotations(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rotations of ``s`` in order of their first ``depth`` bytes, what their first 8 differ by from the one before).
+
+    Sorted by doubling; those still equal stand in any order.
+    """
     n = len(s)
     wide = np.concatenate((s, np.resize(s, 8))).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -151,7 +154,9 @@ def sort_rotations(s: np.ndarray, depth: int) -> np.ndarray:
         key = key << np.uint64(8) | wide[k : n + k]
     order = np.argsort(key).astype(np.int32)
     key = key[order]
-    edge = np.concatenate(([True], key[1:] != key[:-1]))
+    apart = np.concatenate((key[:1], key[1:] ^ key[:-1]))
+    edge = apart != 0
+    edge[0] = True
     del key, wide
     rank = np.empty(n, np.int32)
     rank[order] = np.flatnonzero(edge)[np.cumsum(edge, dtype=np.int32) - 1]
@@ -170,7 +175,7 @@ def sort_rotations(s: np.ndarray, depth: int) -> np.ndarray:
         starts = slots[edge[slots]]  # every group of equals lies within these slots
         rank[at] = starts[np.cumsum(edge[slots], dtype=np.int32) - 1]
         done += step
-    return order
+    return order, apart
 
 
 def undivided(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,17 +185,24 @@ def undivided(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     k bytes and finds the boundaries whose neighbours share k bytes; an interval that finds none is not extended again.
     """
     n = len(s)
-    order = sort_rotations(s, depth)
+    order, apart = sort_rotations(s, depth)
     last = s[order - 1]  # rotation 0 is preceded by the last byte
     by = np.argsort(last, kind="stable")
     forward = np.empty(n, np.int32)
     forward[by] = np.arange(n, dtype=np.int32)
     first = last[by]
     del by
-    bound = np.zeros(n + 1, bool)
-    bound[0] = bound[n] = True
-    low, high = np.array([0], np.int32), np.array([n], np.int32)
-    for _ in range(depth):
+    done = min(8, depth)
+    bound = np.append(apart != 0, True)
+    bound[0] = True
+    # After ``done`` rounds the queue holds the intervals that end where neighbours share one byte less.
+    edges = np.flatnonzero(bound).astype(np.int32)
+    last_byte = np.append((apart != 0) & (apart < 256), False)
+    last_byte[0] = False
+    here = last_byte[edges[1:]]
+    low, high = edges[:-1][here], edges[1:][here]
+    del apart, last_byte
+    for _ in range(done, depth):
         if not len(low):
             break
         size = high - low
