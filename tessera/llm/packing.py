@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,40 +31,92 @@ SHARD_TOKENS = 2_000_000
 #: BM25 parameters, and how many of a seed's best terms are looked up.
 K1, B, QUERY_TERMS = 1.2, 0.75, 12
 #: Words whose ids a worker remembers at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _tokenizers: dict = {}
 
 
+#: Words of these characters alone are split here; all others go through the tokenizer whole. In this range
+#: normalization changes nothing, lower-casing maps each character to one, and letters are what PIECE says.
+PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+#: The tokenizer's own split pattern, for plain words in lower case; MARK stands between words.
+MARK = "\x01"
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|\x01|[^0-9a-z\u00df-\u00f6\u00f8-\u017f\x01]+")
+_PRINTED = bytes(range(33, 127))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest) if b != 32}
+
+
 class WordTokenizer:
     """The tokenizer's ids, word by word.
 
     None of its steps looks across white space (composition, lower-casing, the split pattern and merges stay within a
-    word, white space itself gives no ids), so a text's ids are its words' ids in turn and each word is encoded once.
+    word, white space itself gives no ids), so a text's ids are its words' ids in turn and a word is encoded once. Plain
+    words are split into the pattern's pieces here and go through the tokenizer's merges many at once.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.cache: dict[bytes, bytes] = {}
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.mark,) = self._merged([MARK]).tolist()
+        self.words: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        split = [t.split() for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        missing = list({w for words in split for w in words if w not in cache})
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u2").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        # Lower-casing ASCII first makes words meet. It changes no id but in special tokens and before combining marks.
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        known = self.words
+        fresh = self._words(list(set().union(*split).difference(known)))
+        known.update(fresh)
+        get = known.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        if len(known) > CACHE_WORDS:  # the first words met stay: frequent ones are among them
+            for w in fresh:
+                del known[w]
+        return out
+
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word."""
+        plain, whole = words, []
+        joined = b" ".join(words)
+        if any(t in joined for t in self.special) or joined.translate(None, _PRINTED + b" "):
+            plain = []
+            for w in words:
+                if w.isascii() and not w.translate(None, _PRINTED) or PLAIN.fullmatch(w.decode("utf-8", "replace")):
+                    (whole if any(t in w for t in self.special) else plain).append(w)
+                else:
+                    whole.append(w)
+        out: dict[bytes, bytes] = {}
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            ids = self._merged(PIECE.findall((MARK.encode().join(part) + MARK.encode()).decode().lower()))
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer does not keep words apart")
+            data, ends = ids.tobytes(), (cuts * 2).tolist()
+            out.update(zip(part, [data[a:b] for a, b in zip([0, *[x + 2 for x in ends]], ends)]))
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in whole], add_special_tokens=False)):
+            out[w] = np.array(e.ids, "<u2").tobytes()
+        return out
+
+    def _merged(self, pieces: list[str]) -> np.ndarray:
+        """The ids of pieces, one after another, by the tokenizer's merges alone."""
+        batch = [" ".join(pieces[k : k + 1000]) for k in range(0, len(pieces), 1000)]
+        shown = [p.encode().decode("latin-1").translate(self.letters) for p in batch]
+        return np.concatenate([np.array(e.ids, "<u2") for e in self.merges.encode_batch_fast(shown, add_special_tokens=False)])
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -73,6 +126,13 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def _first(s: np.ndarray) -> np.ndarray:
+    """Whether each element of a sorted array differs from the one before."""
+    out = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=out[1:])
+    return out
+
+
 def _topic(ids: np.ndarray) -> tuple[int, int]:
     """The two latest-merged, so rarest, ids that repeat in the document; if none does, of all its ids."""
     if not len(ids):
@@ -106,14 +166,10 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         total = np.zeros(1 << 16, np.int64)
-        mark = np.zeros(1 << 16, bool)
         for batch in batches:
             for x in batch.column("ids").to_pylist():
-                ids = np.frombuffer(x, "<u2")
-                mark[ids] = True
-                ids = np.flatnonzero(mark) if len(ids) > 8192 else np.unique(ids)
-                total[ids] += 1
-                mark[ids] = False
+                s = np.sort(np.frombuffer(x, "<u2"), kind="stable")
+                total[s[_first(s)]] += 1
         at = np.flatnonzero(total)
         yield list(zip(at.tolist(), total[at].tolist()))
 
@@ -127,7 +183,7 @@ class Index:
         terms, weights, owners, self.queries = [], [], [], []
         for i, ids in enumerate(docs):
             s = np.sort(ids, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            first = np.flatnonzero(_first(s))
             t, tf = s[first], np.diff(np.append(first, len(s)))
             w = (idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length)))).astype(np.float32)
             best = np.argpartition(w, -QUERY_TERMS)[-QUERY_TERMS:] if len(w) > QUERY_TERMS else np.arange(len(w))
