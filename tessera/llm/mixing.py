@@ -9,11 +9,12 @@ source which holds a third of all rows is summed by many tasks.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import per_row, quoted, tune, written
 
@@ -25,6 +26,8 @@ MAX_REPEATS = 3
 #: Rows of a source that one task sums.
 ROWS_PER_BUCKET = 8192
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
 
 def word_count(text: bytes) -> int:
     return len(text.split())
@@ -70,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")).alias("text"), quoted(source_col).cast("string").alias("source"))
-    rows = rows.select("doc_id", "text", "source", F.xxhash64("text").alias("digest"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("place"))
+    rows = rows.select("doc_id", "text", "source", F.xxhash64("text").alias("digest"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1).alias("place"))  # 63 bits
     sized = written(per_row(rows, lambda d, t, s, g, p: (d, g, s, p, word_count(t)), "doc_id long, digest long, source string, place long, size long"), "sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     total = {r["source"]: r["size"] for r in found}
@@ -80,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = spark.createDataFrame(plan, "name string, source_size long, target double, quota long, start double, end double")
 
     bits = max(0, math.ceil(math.log2(max(1, sum(r["n"] for r in found)) / ROWS_PER_BUCKET)))
-    sized = sized.withColumn("bucket", F.shiftrightunsigned("place", 64 - bits) if bits else F.lit(0).cast("long"))
+    sized = sized.withColumn("bucket", F.shiftright("place", 63 - bits) if bits else F.lit(0).cast("long"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("before"))
@@ -105,13 +108,9 @@ def first_words(text: bytes, n: int) -> bytes:
     """``text`` up to the end of its n-th word; all of it if it has no more words than that."""
     if n >= word_count(text):
         return text
-    end, rest = 0, text
-    import re
-
-    for i, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", rest)):
-        if i == n:
-            break
-        end = m.end()
+    end = 0
+    for _, word in zip(range(n), WORD.finditer(text)):
+        end = word.end()
     return text[:end]
 
 
@@ -134,9 +133,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = plain.join(decided, on).withColumn("take", F.explode(F.arrays_zip("takes", "positions")))
 
     @F.pandas_udf("string")
-    def cut(texts, words, sizes):
-        import pandas as pd
-
+    def cut(texts: pd.Series, words: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series([t if w >= n else first_words(t.encode(), w).decode() for t, w, n in zip(texts, words, sizes)], dtype=object)
 
     out = [cut(F.col(text), F.col("take.takes"), F.col("size")) if c == text else F.col(c) for c in plain.columns[: len(names)]]
