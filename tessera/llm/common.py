@@ -90,13 +90,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext._tessera_scratch
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def splits(df: DataFrame) -> int:
+    """In how many parts Spark reads ``df``: a measure of its size that costs no job."""
+    return df.rdd.getNumPartitions()
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost no recomputation.
 
-    The files go when the application ends.
+    The files go when the application ends; ``files`` is how many there are at most.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if files is not None:
+        df = df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -17,7 +17,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_row(suffix_dedup.remove_repeats(documents(spark, sf_dir)), suffix_dedup.digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    left = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("text")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SPACES = "[\\x20\\x09-\\x0D]"
+
+#: DuckDB SQL for the queries that SQL can express; tests hold the others against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM words
+        ), each AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), least AS (
+            SELECT a, min(b) AS b FROM reach GROUP BY a
+        )
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
+        FROM sets LEFT JOIN least ON doc_id = a""",
+    "op7_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+        ), keyed AS (
+            SELECT *, translate(regexp_replace(line, '^{_SPACES}+|{_SPACES}+$', '', 'g'), {_LOWER}) AS key FROM lines
+        ), frequent AS (
+            SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), judged AS (
+            SELECT doc_id, i, line, coalesce(doc_id <> keeper, FALSE) AS dropped FROM keyed LEFT JOIN frequent USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
+}

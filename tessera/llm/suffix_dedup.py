@@ -13,7 +13,6 @@ first, where equal content is one row again, so no group grows with the corpus.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, discard, doc_frame, per_row, written
+from .common import arrow_map, discard, doc_frame, per_row, splits, written
 
 LENGTH = 200
 GRAM = 48
@@ -281,28 +280,25 @@ def _texts_of(rows: DataFrame, found: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, tag, ranges): for each text with one, [first, last + 1, ...] of its windows that also start elsewhere."""
-    anchors = written(_anchors(rows, length, gram), "anchors")
-    often = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
-    shared = written(anchors.join(often, "h"), "shared")
+    files = max(6, splits(rows) // 4)  # the tables below are a fraction of the input each
+    anchors = written(_anchors(rows, length, gram), "anchors", files)
+    often = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often", files)
+    shared = written(anchors.join(often, "h"), "shared", files)
     discard(anchors, often)
 
     regions = shared.groupBy("h", "r").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tag", "spot")).alias("at"))
-    regions = written(regions.select("h", "r", "copies", "at.doc_id", "at.tag", "at.spot"), "regions")
-    crowded = written(regions.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_REGIONS).select("h"), "crowded")
-    if crowded.limit(1).count():
-        shared, regions = _cut_crowded(rows, shared, crowded, length)
-    discard(crowded)
+    regions = written(regions.select("h", "r", "copies", "at.doc_id", "at.tag", "at.spot"), "regions", files)
+    crowded = regions.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_REGIONS).select("h")
+    if not crowded.isEmpty():
+        shared, regions = _cut_crowded(rows, shared, written(crowded, "crowded", files), length)
 
     total = regions.agg(F.coalesce(F.sum(F.col("spot").bitwiseAND(255) + length), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // (4 * TRANSFORM)))
     # Repeated rows give a region's text more than once; the transform's rows are sorted, so it can skip those.
     dealt = _texts_of(rows, regions, length).select("h", "r", "copies", "text").repartition(parts, "h").sortWithinPartitions("h", "r")
-    found = written(arrow_map(dealt, _transformed(length), "h long, r long, runs array<int>"), "found")
-    discard(regions)
+    found = arrow_map(dealt, _transformed(length), "h long, r long, runs array<int>")
     hits = shared.join(found, ["h", "r"]).select("doc_id", "tag", F.transform("runs", lambda x: x + F.shiftright("spot", 8)).alias("ranges"))
-    out = written(hits.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
-    discard(shared, found)
-    return out
+    return hits.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _cut_crowded(rows: DataFrame, shared: DataFrame, crowded: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
@@ -360,6 +356,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     return per_row(joined, cut, "doc_id long, n_bytes long, spans array<struct<a:int,b:int>>, text binary")
 
-
-def digest(doc_id, n_bytes, spans, text):
-    return doc_id, n_bytes, n_bytes - len(text), len(spans), hashlib.sha256(text).hexdigest()
