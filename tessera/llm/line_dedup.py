@@ -10,12 +10,12 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_map, code_points, doc_frame, per_row, same
+from .common import SPACES, arrow_map, code_points, doc_frame, per_row, same, written
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -63,6 +63,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = doc_frame(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
     seen = per_row(rows, _occurrences(min_chars), "key binary, doc_id long, digest long, n_lines int, lines array<int>", many=True)
     frequent = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
+    frequent = written(frequent, "frequent")  # so that the join deals both sides out itself and can split a hot key
     hits = seen.join(frequent, "key").select("key", "doc_id", "digest", "n_lines", "lines", "keeper")
     ordered = ("key", F.col("doc_id").desc_nulls_last(), F.col("lines")[0])
     dropped = arrow_map(hits.repartitionByRange(*ordered).sortWithinPartitions(*ordered), _streamed, "doc_id long, digest long, n_lines int, lines array<int>")
@@ -100,9 +101,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = plain.join(maps, plain["_doc"].eqNullSafe(maps["doc_id"]) & plain["_digest"].eqNullSafe(maps["digest"]), "left")
 
     @F.pandas_udf("string")
-    def left_over(texts, bitmaps):
-        import pandas as pd
-
+    def left_over(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
         return pd.Series([t if b is None or t is None else kept_lines(t.encode(), b)[2].decode() for t, b in zip(texts, bitmaps)], dtype=object)
 
     out = [left_over(F.col(text), F.col("bitmap")) if c == text else F.col(c) for c in plain.columns[: len(names)]]
