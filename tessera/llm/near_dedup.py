@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = signed.join(labels, "node", "left").select("doc_id", "digest", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "label", "left")
+    out = placed.join(written(least, "least"), "label", "left")
     return out.select("doc_id", "digest", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
