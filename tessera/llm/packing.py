@@ -13,6 +13,7 @@ import math
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -38,11 +39,10 @@ _tokenizers: dict = {}
 
 #: Words of these characters alone are split here; all others go through the tokenizer whole. In this range
 #: normalization changes nothing, lower-casing maps each character to one, and letters are what PIECE says.
-PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+PLAIN = re.compile("[ -~\u00c0-\u012f\u0131-\u017f]+")
 #: The tokenizer's own split pattern, for plain words in lower case; MARK stands between words.
 MARK = "\x01"
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|\x01|[^0-9a-z\u00df-\u00f6\u00f8-\u017f\x01]+")
-_PRINTED = bytes(range(33, 127))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -78,27 +78,28 @@ class WordTokenizer:
         """Little-endian 16-bit ids of each text."""
         # Lower-casing ASCII first makes words meet. It changes no id but in special tokens and before combining marks.
         split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        words = list(chain.from_iterable(split))
         known = self.words
-        fresh = self._words(list(set().union(*split).difference(known)))
-        known.update(fresh)
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        if len(known) > CACHE_WORDS:  # the first words met stay: frequent ones are among them
-            for w in fresh:
-                del known[w]
-        return out
+        ids = list(map(known.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            fresh = self._words(list({words[i] for i in missing}))
+            for i in missing:
+                ids[i] = fresh[words[i]]
+            if len(known) < CACHE_WORDS:  # the first words met stay: frequent ones are among them
+                known.update(fresh)
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
     def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of each word."""
         plain, whole = words, []
         joined = b" ".join(words)
-        if any(t in joined for t in self.special) or joined.translate(None, _PRINTED + b" "):
+        if any(t in joined for t in self.special) or not PLAIN.fullmatch(joined.decode("utf-8", "replace")):
             plain = []
             for w in words:
-                if w.isascii() and not w.translate(None, _PRINTED) or PLAIN.fullmatch(w.decode("utf-8", "replace")):
-                    (whole if any(t in w for t in self.special) else plain).append(w)
-                else:
-                    whole.append(w)
+                fits = PLAIN.fullmatch(w.decode("utf-8", "replace")) and not any(t in w for t in self.special)
+                (plain if fits else whole).append(w)
         out: dict[bytes, bytes] = {}
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
@@ -133,11 +134,10 @@ def _first(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _topic(ids: np.ndarray) -> tuple[int, int]:
-    """The two latest-merged, so rarest, ids that repeat in the document; if none does, of all its ids."""
-    if not len(ids):
+def _topic(s: np.ndarray) -> tuple[int, int]:
+    """The two latest-merged, so rarest, ids that repeat in the document of sorted ids; if none does, of all its ids."""
+    if not len(s):
         return 0, 0
-    s = np.sort(ids, kind="stable")
     twice = s[1:][s[1:] == s[:-1]]
     s = twice if len(twice) else s
     top = int(s[-1])
@@ -145,35 +145,45 @@ def _topic(ids: np.ndarray) -> tuple[int, int]:
     return top, int(rest[-1]) if len(rest) else 0
 
 
+TOKENS = "doc_id long, place long, first int, second int, n int, ids binary, frequencies binary"
+
+
 def tokenize(rows: DataFrame, path: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, place, first, second, n, ids): ids end with ``end_id``."""
+    """A row for each document, its ids ending with ``end_id``, and one for each task.
+
+    A task's own row has nothing but ``frequencies``: in how many of its documents each id stands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         encode = tokenizer(path).encode
         end = np.array([end_id], "<u2").tobytes()
+        total = np.zeros(1 << 16, "<u4")
         for batch in batches:
             ids, place = batch.column("doc_id").to_pylist(), batch.column("place").to_pylist()
             out = []
             for i, p, x in zip(ids, place, encode(batch.column("text").to_pylist())):
-                out.append((i, p, *_topic(np.frombuffer(x, "<u2")), len(x) // 2 + 1, x + end))
+                x += end
+                s = np.sort(np.frombuffer(x, "<u2"), kind="stable")
+                total[s[_first(s)]] += 1
+                out.append((i, p, *_topic(s), len(s), x, None))
             yield out
+        yield [(None,) * 6 + (total.tobytes(),)]
 
-    return arrow_map(rows, run, "doc_id long, place long, first int, second int, n int, ids binary")
+    return arrow_map(rows, run, TOKENS)
 
 
 def document_frequencies(tokens: DataFrame) -> DataFrame:
-    """(id, n): documents that hold the id, over all documents; each task adds up its own first."""
+    """(id, n): documents that hold the id, over all documents, from the tasks' own rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                s = np.sort(np.frombuffer(x, "<u2"), kind="stable")
-                total[s[_first(s)]] += 1
+            for x in batch.column("frequencies").to_pylist():
+                total += np.frombuffer(x, "<u4")
         at = np.flatnonzero(total)
         yield list(zip(at.tolist(), total[at].tolist()))
 
-    return arrow_map(tokens.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return arrow_map(tokens.where("frequencies is not null").select("frequencies"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 class Index:
@@ -285,11 +295,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     ``docs`` is a document: repeated rows are packed each and numbered by ``copy``, and a null id stays null. An empty table gives no pieces.
     """
     rows = doc_frame(docs, id_col, text_col)
-    tokens = written(tokenize(rows.withColumn("place", F.xxhash64("text", "doc_id")), path), "tokens")
+    table = written(tokenize(rows.withColumn("place", F.xxhash64("text", "doc_id")), path), "tokens")
+    tokens = table.where("frequencies is null")
     total = tokens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     mean = total["tokens"] / max(1, total["docs"])
     idf = np.zeros(1 << 16, np.float32)
-    for r in document_frequencies(tokens).collect():  # at most one row for each id of the vocabulary
+    for r in document_frequencies(table).collect():  # at most one row for each id of the vocabulary
         idf[r["id"]] = math.log(1 + (total["docs"] - r["n"] + 0.5) / (r["n"] + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # 256 KB
     shards = max(1, -(-total["tokens"] // shard_tokens))
