@@ -272,9 +272,12 @@ def _transformed(length: int):
 
 
 def _texts_of(rows: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """``found`` with each region's bytes."""
-    docs = rows.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "text")
-    joined = found.join(docs, found["doc_id"].eqNullSafe(docs["_doc"]) & (found["tag"] == docs["_tag"]))
+    """``found`` with each region's bytes.
+
+    ``rows`` keep their names here as in :func:`remove_repeats`, so that Spark deals the documents out once for both.
+    """
+    wanted = found.withColumnsRenamed({"doc_id": "of", "tag": "with"})
+    joined = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["of"]) & (rows["tag"] == wanted["with"]))
     return joined.select(*found.columns, F.expr(f"substring(text, cast(shiftright(spot, 8) as int) + 1, cast((spot & 255) as int) + {length})").alias("text"))
 
 
