@@ -186,14 +186,14 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.cache = np.full(1 << BITS * ORDER, np.nan, np.float32)
+        self.cache = np.zeros(1 << BITS * ORDER, np.float32)  # 0 where not looked up yet: pages never touched cost nothing
 
     def __call__(self, texts: list[bytes]) -> list[float]:
         if not texts:
             return []
         code, begins = codes(texts)
         p = self.cache[code]
-        missing = np.flatnonzero(np.isnan(p))
+        missing = np.flatnonzero(p == 0)
         if len(missing):
             fresh = np.unique(code[missing])
             self.cache[fresh] = self.model.log_p(fresh)
