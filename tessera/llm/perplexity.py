@@ -1,30 +1,33 @@
 """Quality rules with n-gram perplexity.
 
-A modified Kneser-Ney model over character 4-grams is counted by Spark over all documents. Characters are folded into 64
-symbols, so that the model has at most 64^4 entries whatever the corpus: that bound is what makes it fit to be
-broadcast. It is stored as sorted arrays of hashes. Documents whose perplexity leaves their language's band are rejected.
+Each language has a model of n-grams of whole code points, counted over all its documents. A document is scored by the
+counts of all others: its own are taken off. The counts stay hash-partitioned in Spark; each part of the documents asks for
+the n-grams that it holds and gets their counts beside its rows, so nothing that grows with the corpus reaches the driver
+or every task. Documents whose perplexity, by symbol or by word, leaves their language's band are rejected.
+
+The 64-symbol model (``codes``, ``Model``, ``Scorer``) judges nothing here; its tests use it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, code_points, doc_frame, quoted, tune, written
+from .common import arrow_map, code_points, quoted, splits, tune, written
 
 ORDER = 4
 BITS = 6
 END = 63
-#: Band half-widths beyond the quartiles, in interquartile ranges of the log perplexity, and their least value.
+#: Band half-widths beyond the quartiles, in interquartile ranges of the language's own log perplexities.
 FENCE = 4.0
-LEAST_WIDTH = 0.4
-#: A text with more of the symbols than this share of its bytes is scored, but the model does not learn from it.
-MOST_SYMBOLS_PERCENT = 5
 #: Rules of the base verdict.
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -88,23 +91,6 @@ def n_symbols(text: bytes) -> int:
     return len(text.translate(None, _NOT_SYMBOL))
 
 
-def count_ngrams(rows: DataFrame) -> DataFrame:
-    """(code, n) over all rows of (doc_id, text) that are not full of symbols: summed in each task, then by Spark."""
-
-    def count(batches):
-        total = np.zeros(1 << BITS * ORDER, np.int32)
-        for batch in batches:
-            texts = [t for t in batch.column("text").to_pylist() if 100 * n_symbols(t) <= MOST_SYMBOLS_PERCENT * len(t)]
-            if texts:
-                np.add.at(total, codes(texts)[0], 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 50_000):
-            part = at[i : i + 50_000]
-            yield list(zip(part.tolist(), total[part].tolist()))
-
-    return arrow_map(rows, count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney's D1, D2, D3+ from the counts of counts, at index 1 to 3."""
     t = [float(np.count_nonzero(n == k)) for k in range(1, 5)]
@@ -173,14 +159,6 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of the texts. Its counts reach the driver: at most 64^4 of them, whatever the corpus."""
-    counts = count_ngrams(doc_frame(docs, id_col, text_col)).toArrow()
-    code, n = (counts.column(c).to_numpy() for c in ("code", "n"))
-    order = np.argsort(code)
-    return Model(code[order], n[order])
-
-
 class Scorer:
     """Log perplexities of batches; a task looks each distinct 4-gram up once."""
 
@@ -231,69 +209,288 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words
 
 
-def _scored(rows: DataFrame, model: Model, schema: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+#: The model: n-grams of 1 to DEPTH whole code points in each language, smoothed as if PRIOR more symbols had been seen.
+DEPTH = 4
+PRIOR = 4.0
+#: Symbols in a piece of a text, and bytes that are scored at once.
+PIECE = 64
+AT_ONCE = 300_000
+_PAD, _STOP = 0x110000, 0x110001
+_LETTER = np.array([chr(c).isalnum() for c in range(128)] + [True])
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-    def score(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            stats = [base_statistics(t) for t in texts]
-            yield [(d, l, *s, base_failed(s[0], s[4]), p) for d, l, s, p in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), stats, scorer(texts))]
 
-    return arrow_map(rows, score, schema)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
 
+def _salt(lang: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b(b"" if lang is None else b"=" + lang.encode(), digest_size=8).digest(), "little")
 
-SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
 
+class Grams:
+    """The n-grams that end at each symbol of each text: hashes by order, and where each text begins.
 
-def bands(scored: DataFrame, fence: float = FENCE, least: float = LEAST_WIDTH) -> DataFrame:
-    """(lang, low, high) of the log perplexity: quartiles of the documents that pass the base rules, widened."""
-    q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
-    of = scored.where(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"))
-    width = F.greatest(fence * (F.col("q")[1] - F.col("q")[0]), F.lit(least))
-    return of.select("lang", (F.col("q")[0] - width).alias("low"), (F.col("q")[1] + width).alias("high"))
+    A text begins with a pad, which is counted but not scored, and ends with a stop. So an n-gram is followed by a symbol
+    as often as it occurs, and its own count is that of the context.
+    """
+
+    def __init__(self, texts: list[bytes], langs: list[str | None]) -> None:
+        points = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        self.lengths = np.fromiter((len(p) + 2 for p in points), np.int64, len(points))
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        edge = np.array([_STOP, _PAD], np.uint32)
+        x = np.concatenate([edge[1:], *(y for p in points for y in (p, edge))])[:-1].astype(np.uint64)
+        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
+        salts = {lang: _salt(lang) for lang in set(langs)}
+        h = np.array([salts[lang] for lang in langs], np.uint64)[self.doc]
+        place = np.arange(len(x)) - self.begins[self.doc]
+        self.orders = [h]
+        letter = _LETTER[np.minimum(x, 128)] & (x < _PAD)
+        self.word_begins = letter & ~np.append(False, letter[:-1])
+        symbol = _mixed(x * _HASH + np.uint64(1))
+        turned = np.zeros(len(x), np.uint64)
+        factor = np.array([1], np.uint64)
+        for k in range(DEPTH):  # symbols before a text's begin are pads
+            seen = symbol if not k else np.where(place >= k, np.concatenate([symbol[:k], symbol[:-k]]), symbol[0])
+            turned = turned + seen * factor
+            factor = factor * _HASH
+            self.orders.append(_mixed(h + turned + np.uint64(k + 1)))
+
+
+def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of each key's distinct form, distinct keys, their counts or sums of n)."""
+    at, distinct = pd.factorize(keys)
+    return at, distinct, np.bincount(at, n, len(distinct)).astype(np.int64)
+
+
+def gram_counts(grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of all orders, by hash."""
+    keys, counts, places, n = [], [], None, None
+    for h in reversed(grams.orders):
+        at, distinct, n = _counted(h if places is None else h[places], n)
+        first = np.empty(len(distinct), np.int64)
+        first[at] = np.arange(len(at)) if places is None else places
+        keys.append(distinct)
+        counts.append(n)
+        places = first
+    return summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys added up, by key."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[begins], np.add.reduceat(counts, begins)
+
+
+def symbol_nats(grams: Grams, total: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Negative log probability of each symbol of each text, 0 for pads, by the counts of all other texts; ``total`` looks whole counts up."""
+
+    def elsewhere(keys: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at, distinct, _ = _counted(keys)
+        own, _, mine = _counted(keys ^ salt[doc], n)
+        return np.maximum(total(distinct)[at] - mine[own], 0).astype(np.float64)
+
+    salt = _mixed(np.arange(1, len(grams.lengths) + 1).astype(np.uint64) * _HASH)
+    # each order's (text, n-gram) pairs: (index of the order above's pairs here, a place, how often)
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    places, n = np.arange(len(grams.doc)), None
+    for h in reversed(grams.orders):
+        at, distinct, n = _counted(h[places] ^ salt[grams.doc[places]], n)
+        first = np.empty(len(distinct), np.int64)
+        first[at] = places
+        levels.append((at, first, n))
+        places = first
+    levels.reverse()
+    p = np.full(len(places), 1.0 / (_STOP + 1))
+    for k in range(1, DEPTH + 1):
+        _, places, n = levels[k]
+        doc = grams.doc[places]
+        here = elsewhere(grams.orders[k][places], doc, n)
+        contexts = places if k == 1 else places - 1  # the place before a pad ends another text: no context of this one
+        before = elsewhere(grams.orders[k - 1][contexts], doc, n)
+        p = (here + PRIOR * p[levels[k - 1][0]]) / (before + PRIOR)
+    nats = -np.log(p)[levels[DEPTH][0]]
+    nats[grams.begins] = 0
+    return nats
+
+
+def log_perplexities(grams: Grams, nats: np.ndarray) -> np.ndarray:
+    """Rows of (by symbol, by word, core by symbol, core by word) for each text.
+
+    The cores are over the pieces of a text between the quarters with the lowest and the highest perplexity, so that a
+    quotation in another language or a long key does not decide about the text around it. A word is a run of letters
+    and digits.
+    """
+    place = np.arange(len(nats)) - grams.begins[grams.doc]
+    pieces = np.maximum((grams.lengths + PIECE // 2) // PIECE, 1)  # the rest goes to the last one
+    offset = np.cumsum(pieces) - pieces
+    piece = offset[grams.doc] + np.minimum(place // PIECE, pieces[grams.doc] - 1)
+    doc = np.repeat(np.arange(len(pieces)), pieces)
+    symbols = np.bincount(piece, place > 0, len(doc))
+    words = np.bincount(piece, grams.word_begins, len(doc))
+    cost = np.bincount(piece, nats, len(doc))
+    rank = np.empty(len(doc), np.int64)
+    rank[np.lexsort((cost / np.maximum(symbols, 1), doc))] = np.arange(len(doc)) - offset[doc]
+    trimmed = pieces[doc] // 4
+    core = (rank >= trimmed) & (rank < pieces[doc] - trimmed)
+    out = []
+    for chosen in (np.ones(len(doc), bool), core):
+        c, n, w = (np.bincount(doc[chosen], x[chosen], len(pieces)) for x in (cost, symbols, words))
+        out += [c / np.maximum(n, 1), c / np.maximum(w, 1)]
+    return np.stack(out, 1)
+
+
+def _small(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """A batch's rows, (part, at, doc_id, text, lang), a few at a time: tables of their n-grams then fit a processor's cache."""
+    rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+    begin = size = 0
+    for i, row in enumerate(rows):
+        size += len(row[3]) + 2
+        if size >= AT_ONCE or i + 1 == len(rows):
+            yield rows[begin : i + 1]
+            begin, size = i + 1, 0
+
+
+def _part_counts(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts, waiting = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for batch in batches:
+        for rows in _small(batch):
+            k, c = gram_counts(Grams([r[3] for r in rows], [r[4] for r in rows]))
+            keys.append(k)
+            counts.append(c)
+            waiting += len(k)
+        if waiting > 1_000_000:
+            k, c = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, waiting = [k], [c], 0
+    return summed(np.concatenate(keys), np.concatenate(counts))
+
+
+COUNTED = np.dtype([("key", "<u8"), ("n", "<i8")])
+
+
+def counts_for_parts(rows: DataFrame, n: int) -> DataFrame:
+    """(part, at, payload): the n-grams that a part of ``rows`` holds, by hash, with the whole corpus's counts."""
+    bits = max(4, (2 * n - 1).bit_length())
+
+    def ask(batches):
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        part = first.column("part")[0].as_py()
+        keys, counts = _part_counts(chain([first], batches))
+        edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        yield [(part, i, keys[a:b].tobytes(), counts[a:b].astype(np.int32).tobytes()) for i, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)])) if b > a]
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
+        every, counts = summed(np.concatenate(keys), np.concatenate([np.frombuffer(x, np.int32) for x in frame["counts"]]).astype(np.int64))
+        payload = []
+        for k in keys:
+            pairs = np.empty(len(k), COUNTED)
+            pairs["key"], pairs["n"] = k, counts[np.searchsorted(every, k)]
+            payload.append(pairs.tobytes())
+        return pd.DataFrame({"part": frame["part"], "at": frame["at"], "payload": payload})
+
+    asked = arrow_map(rows, ask, "part long, at long, keys binary, counts binary")
+    return asked.groupBy("at").applyInPandas(answer, "part long, at long, payload binary")
+
+
+SCORED = "at long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, word_log_perplexity double, core double, word_core double"
+MEASURES = ("core", "word_core")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, in column at: the part it is read in, above bit 33, and its place there."""
+    return docs.withColumn("at", F.monotonically_increasing_id())
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Every row's statistics and perplexities. Each part of the documents meets the counts of its own n-grams."""
+    tune(docs.sparkSession)
+    n = max(1, splits(docs))
+    chosen = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")).alias("text"), quoted(lang_col).cast("string").alias("lang"))
+    rows = _numbered(chosen).select(F.shiftright("at", 33).alias("part"), "at", "doc_id", "text", "lang")
+    counts = counts_for_parts(rows, n)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    before = counts.select("part", (F.col("at") - F.lit(1 << 40)).alias("at"), none("long", "doc_id"), F.col("payload").alias("text"), none("string", "lang"))
+
+    def score(batches):
+        payload, keys, counts = [], None, None
+
+        def total(wanted):
+            order = np.argsort(wanted)  # in order, the search stays in the cache
+            found = np.empty(len(wanted), np.int64)
+            found[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
+            if not (keys[found] == wanted).all():
+                raise ValueError("the documents changed between two readings")
+            return counts[found]
+
+        for some in (x for batch in batches for x in _small(batch)):
+            out, texts = [], []
+            for is_text, group in groupby(some, lambda r: r[1] >= 0):
+                if not is_text:
+                    if keys is not None:
+                        payload, keys = [], None
+                    payload += [r[3] for r in group]
+                    continue
+                if keys is None:
+                    pairs = np.frombuffer(b"".join(payload), COUNTED)
+                    keys, counts = pairs["key"].copy(), pairs["n"].copy()
+                texts = list(group)
+                grams = Grams([r[3] for r in texts], [r[4] for r in texts])
+                for (_, at, d, t, l), x in zip(texts, log_perplexities(grams, symbol_nats(grams, total)).tolist()):
+                    s = base_statistics(t)
+                    out.append((at, d, l, *s, base_failed(s[0], s[4]), *x))
+            if out:
+                yield out
+
+    # counts sort before the rows that need them
+    together = rows.union(before).repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "at")
+    return arrow_map(together, score, SCORED)
+
+
+def bands(scored: DataFrame, fence: float = FENCE) -> DataFrame:
+    """(lang, low, high, word_low, word_high) of the log perplexities of texts' cores: quartiles of the documents that pass the base rules, widened."""
+    q = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(c) for c in MEASURES]
+    of = scored.where(~F.col("base_failed")).groupBy("lang").agg(*q)
+    edges = []
+    for c, prefix in zip(MEASURES, ("", "word_")):
+        width = fence * (F.col(c)[1] - F.col(c)[0])
+        edges += [(F.col(c)[0] - width).alias(f"{prefix}low"), (F.col(c)[1] + width).alias(f"{prefix}high")]
+    return of.select("lang", *edges)
+
+
+def _judged(scored: DataFrame, fence: float) -> DataFrame:
+    limits = F.broadcast(bands(scored, fence).withColumnRenamed("lang", "of"))  # one row for each language
+    out = scored.join(limits, scored["lang"].eqNullSafe(limits["of"]), "left").drop("of")
+    inside = F.col("core").between(F.col("low"), F.col("high")) & F.col("word_core").between(F.col("word_low"), F.col("word_high"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = FENCE) -> DataFrame:
-    """(doc_id, lang, base statistics, base_failed, perplexity, low, high, kept) for every row.
+    """(doc_id, lang, base statistics, base_failed, perplexity, low, high, word_perplexity, word_low, word_high, kept) for every row.
 
-    perplexity is per symbol. Null texts count as empty and fail the base rules; a null language is a language of its
-    own; repeated rows are scored, and counted by the model, each time.
+    perplexity is per symbol and word_perplexity per word, over the whole text; the bands hold for texts' cores, see
+    :func:`log_perplexities`. Null texts count as empty and fail the base
+    rules; a null language is a language of its own; repeated rows are scored, and counted by the model, each time.
     """
-    model = train(docs, id_col, text_col)
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")).alias("text"), quoted(lang_col).cast("string").alias("lang"))
-    scored = written(_scored(rows, model, SCORED), "scored")
-    limits = bands(scored, fence).withColumnRenamed("lang", "of")
-    out = scored.join(limits, scored["lang"].eqNullSafe(limits["of"]), "left").drop("of")
-    inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
-    return out.select(*[c for c in scored.columns if c != "log_perplexity"], F.exp("log_perplexity").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
+    out = _judged(written(_scored(docs, id_col, text_col, lang_col), "scored"), fence)
+    base = [c for c in out.columns if c not in ("at", "kept", "low", "high", "word_low", "word_high", "log_perplexity", "word_log_perplexity", *MEASURES)]
+    exp = lambda c, name: F.exp(c).alias(name)
+    return out.select(*base, exp("log_perplexity", "perplexity"), exp("low", "low"), exp("high", "high"), exp("word_log_perplexity", "word_perplexity"), exp("word_low", "word_low"), exp("word_high", "word_high"), "kept")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = FENCE) -> DataFrame:
     """``docs``, all columns, without the documents that :func:`score_quality` rejects.
 
-    The bands are one row for each language, so texts are scored again where they stand and never shuffled.
+    Rows meet their verdicts by number, so that ids may be null or repeated.
     """
-    tune(docs.sparkSession)
-    model = train(docs, id_col, text_col)
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")).alias("text"), quoted(lang_col).cast("string").alias("lang"))
-    limits = bands(_scored(rows, model, SCORED), fence).collect()
-    band = {r["lang"]: (r["low"], r["high"]) for r in limits}
-    shared = docs.sparkSession.sparkContext.broadcast((model, band))
-
-    def keep(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model, band = shared.value
-        scorer = Scorer(model)
-        for texts, langs in frames:
-            data = [bytes(t) for t in texts]
-            out = []
-            for t, lang, p in zip(data, langs, scorer(data)):
-                n, _, _, _, repeated = base_statistics(t)
-                low, high = band.get(None if lang is None or lang != lang else lang, (float("-inf"), float("inf")))
-                out.append(not base_failed(n, repeated) and low <= p <= high)
-            yield pd.Series(out, dtype=bool)
-
-    # The annotations are strings here, and pandas_udf needs the types.
-    keep.__annotations__ = {"frames": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return docs.where(F.pandas_udf(keep, "boolean")(F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")), quoted(lang_col).cast("string")))
+    scored = written(_scored(docs, id_col, text_col, lang_col), "scored")
+    plain = _numbered(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))  # no name can clash with the number's
+    return plain.join(_judged(scored, fence).where("kept").select("at"), "at", "left_semi").drop("at").toDF(*docs.columns)
