@@ -68,3 +68,31 @@ def test_texts_full_of_symbols_are_learned(spark, clean):
     mixed = scored(spark, [(t, "en") for t in clean["en"] + tables[:3]])
     n = len(clean["en"])
     assert not any(mixed[n + i].kept for i in range(3))  # few tables in prose are foreign by the model itself
+
+
+def test_bands_come_from_the_languages_own_spread(spark, clean):
+    rng = random.Random(4)
+    rows = [(t, lang, "clean") for lang in ("en", "de", "fr") for t in clean[lang]]
+
+    def shuffled(t):
+        words = t.split()
+        rng.shuffle(words)
+        return " ".join(words)
+
+    def junk(t):  # every eighth word
+        return " ".join(w + rng.choice(["##", "$$", "&&"]) if i % 8 == 0 else w for i, w in enumerate(t.split(" ")))
+
+    for lang, other in (("en", "de"), ("de", "fr"), ("fr", "en")):
+        some = clean[lang][:3]
+        rows += [(shuffled(t), lang, "shuffled") for t in clean[lang][3:6]]
+        rows += [(t, other, "wrong") for t in some]
+        rows += [(junk(t), lang, "junk") for t in clean[lang][6:9]]
+    assert all(100 * perplexity.n_symbols(t.encode()) < 5 * len(t.encode()) for t, _, kind in rows if kind == "junk")
+    got = scored(spark, [r[:2] for r in rows])
+    kept = defaultdict(list)
+    for i, (_, _, kind) in enumerate(rows):
+        if not got[i].base_failed:
+            kept[kind].append(got[i].kept)
+    assert np.mean(kept["clean"]) > 0.95
+    assert not any(kept["wrong"])
+    assert np.mean(kept["shuffled"]) < 0.3 and np.mean(kept["junk"]) < 0.3
