@@ -96,3 +96,16 @@ def test_bands_come_from_the_languages_own_spread(spark, clean):
     assert np.mean(kept["clean"]) > 0.95
     assert not any(kept["wrong"])
     assert np.mean(kept["shuffled"]) < 0.3 and np.mean(kept["junk"]) < 0.3
+
+
+def test_the_model_grows_with_the_alphabet_and_the_text(spark):
+    rng = random.Random(5)
+
+    def entries(n, alphabet):
+        texts = ["".join(rng.choice(alphabet) for _ in range(400)).encode() for _ in range(n)]
+        return len(perplexity.gram_counts(perplexity.Grams(texts, ["x"] * n))[0])
+
+    alphabet = [chr(c) for c in (*range(65, 91), *range(48, 58), *range(0x430, 0x450), *range(0x4E00, 0x4F00))]
+    assert entries(400, alphabet) > 8 * entries(40, alphabet)  # ten times the text
+    a, b = (perplexity.gram_counts(perplexity.Grams([t.encode()], ["x"]))[0] for t in ("ШЩ ABC 12", "ЩШ BAC 21"))
+    assert len(set(a) & set(b)) < len(a) / 2  # no two letters or digits are one symbol
