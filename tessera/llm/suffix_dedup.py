@@ -7,8 +7,9 @@ what it leaves undivided are the windows that are equal.
 One transform cannot hold the corpus, so windows are dealt so that equal ones meet. Each window has an anchor: the
 smallest hash among its 48-byte substrings, which depends on its content alone. The windows of a document that share an
 anchor are one region. Only regions whose anchor occurs elsewhere too go on; equal regions are counted and sent once;
-regions with one anchor are transformed together. An anchor with very many different regions is cut into single windows
-first, where equal content is one row again, so no group grows with the corpus.
+regions with one anchor are transformed together. The different regions of an anchor in more contexts than a transform
+takes are dealt anew by anchors of 184 and then of 200 bytes, again only where those occur twice: every window reaches a
+transform, and no group grows with the corpus, since a region with an anchor as long as a window is that window.
 """
 
 from __future__ import annotations
@@ -17,20 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, discard, doc_frame, per_row, splits, written
+from .common import arrow_map, discard, doc_frame, per_row, written
 
 LENGTH = 200
 GRAM = 48
+#: Bytes by which the anchors of the next levels fall short of a window.
+SHORT = (16, 0)
 #: Bytes that are anchored at once, and bytes that one transform holds.
 SEGMENT, TRANSFORM = 1 << 18, 1 << 19
-#: Different regions of one anchor beyond which it is cut into windows; with the bytes that a region has at most, they
-#: bound what a transform holds beyond TRANSFORM.
-MANY_REGIONS = 8192
+#: Different regions of one anchor that are transformed as they are; with the bytes that a region has at most, they
+#: bound what a transform holds beyond TRANSFORM. More are dealt anew. Results do not depend on it.
+REGIONS = 256
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -104,7 +106,7 @@ def anchored(data: np.ndarray, lengths: np.ndarray, length: int = LENGTH, gram:
     return owner[first], inner[first], count, h[spot[first]], region
 
 
-ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("r", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("spot", T.LongType())])
+ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("r", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("spot", T.LongType())])
 
 
 def _segments(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, list[int], list[int], np.ndarray]]:
@@ -271,56 +273,73 @@ def _transformed(length: int):
     return run
 
 
-def _texts_of(rows: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """``found`` with each region's bytes.
+def _transform(regions: DataFrame, length: int) -> DataFrame:
+    """(h, r, runs): for each of ``regions`` (h, r, copies, text) with one, the runs of its windows that occur twice."""
+    total = regions.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-int(total) // (4 * TRANSFORM)))
+    dealt = regions.select("h", "r", "copies", "text").repartition(parts, "h").sortWithinPartitions("h", "r")
+    return arrow_map(dealt, _transformed(length), "h long, r long, runs array<int>")
 
-    ``rows`` keep their names here as in :func:`remove_repeats`, so that Spark deals the documents out once for both.
-    """
-    wanted = found.withColumnsRenamed({"doc_id": "of", "tag": "with"})
-    joined = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["of"]) & (rows["tag"] == wanted["with"]))
-    return joined.select(*found.columns, F.expr(f"substring(text, cast(shiftright(spot, 8) as int) + 1, cast((spot & 255) as int) + {length})").alias("text"))
+
+CUT = T.StructType([T.StructField(c, T.LongType()) for c in ("h2", "r2", "h", "r", "copies", "at", "n")])
+
+
+def _cut(regions: DataFrame, length: int, gram: int) -> DataFrame:
+    """Each region's windows by their anchor of ``gram`` bytes: (h2, r2, h, r, copies, first window, windows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of in range(0, batch.num_rows, 500):
+                part = batch.slice(of, 500)
+                texts = part.column("text").to_pylist()
+                owner, inner, count, h2, r2 = anchored(np.frombuffer(b"".join(texts), np.uint8), np.array([len(x) for x in texts], np.int64), length, gram)
+                row = pa.array(owner)
+                mine = [part.column(c).take(row) for c in ("h", "r", "copies")]
+                yield pa.RecordBatch.from_arrays([pa.array(h2.view(np.int64)), pa.array(r2.view(np.int64)), *mine, pa.array(inner.astype(np.int64)), pa.array(count.astype(np.int64))], names=CUT.names)
+
+    return regions.select("h", "r", "copies", "text").mapInArrow(run, CUT)
+
+
+def _decided(regions: DataFrame, length: int, short: tuple[int, ...]) -> DataFrame:
+    """(h, r, runs) of the written table ``regions`` (h, r, copies, text), crowded anchors dealt anew by longer ones."""
+    crowded = regions.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGIONS).select("h")
+    if not short or (crowded := written(crowded, "crowded")).isEmpty():
+        return _transform(regions, length)
+    many = written(regions.join(crowded, "h", "left_semi"), "many")
+    pieces = written(_cut(many, length, length - short[0]), "pieces")
+    often = written(pieces.groupBy("h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h2"), "often")
+    shared = written(pieces.join(often, "h2"), "shared")
+    discard(pieces, often)
+    one = shared.groupBy("h2", "r2").agg(F.sum("copies").alias("copies"), F.min(F.struct("h", "r", "at", "n")).alias("of"))
+    one = one.select("h2", "r2", F.col("copies").alias("all"), "of.*").join(many.select("h", "r", "text"), ["h", "r"])
+    text = F.expr(f"substring(text, cast(at as int) + 1, cast(n as int) + {length - 1})")
+    next_ = written(one.select(F.col("h2").alias("h"), F.col("r2").alias("r"), F.col("all").alias("copies"), text.alias("text")), "regions")
+    discard(many)
+    found = _decided(next_, length, short[1:]).select(F.col("h").alias("h2"), F.col("r").alias("r2"), "runs")
+    back = shared.join(found, ["h2", "r2"]).select("h", "r", F.transform("runs", lambda x: x + F.col("at").cast("int")).alias("runs"))
+    back = written(back.groupBy("h", "r").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    discard(shared, next_)
+    return _transform(regions.join(crowded, "h", "left_anti"), length).union(back)
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, tag, ranges): for each text with one, [first, last + 1, ...] of its windows that also start elsewhere."""
-    files = max(6, splits(rows) // 4)  # the tables below are a fraction of the input each
-    anchors = written(_anchors(rows, length, gram), "anchors", files)
-    often = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often", files)
-    shared = written(anchors.join(often, "h"), "shared", files)
+    anchors = written(_anchors(rows, length, gram), "anchors")
+    often = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
+    shared = written(anchors.join(often, "h"), "shared")
     discard(anchors, often)
 
     regions = shared.groupBy("h", "r").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tag", "spot")).alias("at"))
-    regions = written(regions.select("h", "r", "copies", "at.doc_id", "at.tag", "at.spot"), "regions", files)
-    crowded = regions.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_REGIONS).select("h")
-    if not crowded.isEmpty():
-        shared, regions = _cut_crowded(rows, shared, written(crowded, "crowded", files), length)
-
-    total = regions.agg(F.coalesce(F.sum(F.col("spot").bitwiseAND(255) + length), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // (4 * TRANSFORM)))
-    # Repeated rows give a region's text more than once; the transform's rows are sorted, so it can skip those.
-    dealt = _texts_of(rows, regions, length).select("h", "r", "copies", "text").repartition(parts, "h").sortWithinPartitions("h", "r")
-    found = arrow_map(dealt, _transformed(length), "h long, r long, runs array<int>")
+    at = regions.select("h", "r", "copies", F.col("at.doc_id").alias("of"), F.col("at.tag").alias("with"), "at.spot")
+    joined = rows.join(at, rows["doc_id"].eqNullSafe(at["of"]) & (rows["tag"] == at["with"]))
+    text = F.expr(f"substring(text, cast(shiftright(spot, 8) as int) + 1, cast((spot & 255) as int) + {length})")
+    # Repeated rows give their regions more than once, which changes nothing: such regions have two copies at least.
+    regions = written(joined.select("h", "r", "copies", text.alias("text")), "regions")
+    found = _decided(regions, length, tuple(x for x in SHORT if x < length - gram))
     hits = shared.join(found, ["h", "r"]).select("doc_id", "tag", F.transform("runs", lambda x: x + F.shiftright("spot", 8)).alias("ranges"))
     return hits.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def _cut_crowded(rows: DataFrame, shared: DataFrame, crowded: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Regions of crowded anchors as single windows, each its own anchor; windows that occur once go."""
-
-    def windows(doc_id, tag, spot, text):
-        at = spot >> 8
-        return [((h := xxhash.xxh3_64_intdigest(text[k : k + length]) - (1 << 63)), h, doc_id, tag, (at + k) << 8) for k in range(len(text) - length + 1)]
-
-    texts = _texts_of(rows.dropDuplicates(["doc_id", "tag"]), shared.join(crowded, "h"), length)
-    single = written(per_row(texts.select("doc_id", "tag", "spot", "text"), windows, "h long, r long, doc_id long, tag int, spot long", many=True), "windows")
-    often = written(single.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
-    kept = shared.join(crowded, "h", "left_anti").select("h", "r", "doc_id", "tag", "spot").union(single.join(often, "h").select("h", "r", "doc_id", "tag", "spot"))
-    kept = written(kept, "shared")
-    discard(single, often)
-    regions = kept.groupBy("h", "r").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tag", "spot")).alias("at"))
-    return kept, written(regions.select("h", "r", "copies", "at.doc_id", "at.tag", "at.spot"), "regions")
-
-
 def removal(n: int, ranges: list[int] | None, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs [a, b) of bytes that the windows in ``ranges`` cover."""
     out: list[tuple[int, int]] = []
@@ -348,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents of their own, so all that is longer than ``length`` goes from each. Ids may be null or repeat. An empty
     table gives an empty result.
     """
-    rows = doc_frame(docs, id_col, text_col).withColumn("tag", F.hash("text"))
+    rows = doc_frame(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
     ranges = repeated_ranges(rows, length, gram)
     ranges = ranges.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "ranges")
     joined = rows.join(ranges, rows["doc_id"].eqNullSafe(ranges["_doc"]) & (rows["tag"] == ranges["_tag"]), "left").select("doc_id", "text", "ranges")

@@ -67,15 +67,20 @@ def test_anchors_cover_each_window_once_and_agree():
         assert n == sum(max(0, len(t) - 19) for t in texts)
 
 
-def test_crowded_anchors_are_cut_into_windows(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MANY_REGIONS", 3)
+@pytest.mark.parametrize("most", [3, 256])
+def test_crowded_anchors_are_dealt_anew(spark, monkeypatch, most):
+    """A passage in 600 contexts, some of which go on alike for a while, beside repeated rows and inner repeats."""
+    monkeypatch.setattr(suffix_dedup, "REGIONS", most)
     rng = random.Random(5)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(330))
     noise = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
-    texts = [noise(rng.randint(0, 300)) + passage[: rng.randint(210, 330)] + noise(rng.randint(0, 300)) for _ in range(30)] + [passage, passage, noise(900)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.text), len(r.spans), hashlib.sha256(r.text).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect()}
-    assert got == dict(enumerate(removed(texts, 200)))
+    tails = [noise(60) for _ in range(4)]
+    texts = [noise(rng.randint(0, 120)) + passage[: rng.randint(210, 330)] + rng.choice(tails)[: rng.choice((0, 1, 12, 20, 60))] + noise(rng.randint(0, 120)) for _ in range(600)]
+    texts += [passage, passage, noise(900), "ab" * 300, passage[:150] + passage[200:], "é" * 250]
+    rows = [*enumerate(texts), (5, texts[5]), (None, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_bytes - len(r.text), len(r.spans), hashlib.sha256(r.text).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == collections.Counter((i, *x) for (i, _), x in zip(rows, removed([t for _, t in rows], 200)))
 
 
 def test_long_texts_come_in_pieces(spark, monkeypatch):
