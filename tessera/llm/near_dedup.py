@@ -6,9 +6,10 @@ differs in at most floor(d / m) of its own, so indexing every chunk with each al
 every such pair: with K = 48, m = 9, d = 17 that is every pair under the distance, and two documents at similarity 0.85
 are further apart with a chance of about 1 in 10,000.
 
-Groups of copies are never expanded into all pairs. A bucket's members are first compared with its hub alone. Buckets
-that share members form clusters; only members which the hubs leave outside their cluster's main component are compared
-with the others, so every pair under the distance ends either compared on full sets or inside one component.
+Groups of copies are never expanded into all pairs. A bucket's members are first compared with its hub alone. Where that
+leaves a bucket in several components, its members outside the largest one meet the others inside the tasks that hold
+the bucket: signatures first, then full sets, and a task joins what it finds linked, so that a component is met once.
+Every pair under the distance thus ends either compared on full sets or inside one component, and only links leave a task.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import discard, doc_frame, per_row, written
 WIDTH = 5
 PERCENT = 85
 COMPONENTS, CHUNKS = 48, 9
-#: Members of a cluster, and bytes of their texts, that one task compares with as many others.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Members of a bucket, and bytes of their sets, that one task compares with as many others.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -162,72 +163,79 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of the links (a, b): the least node that it reaches.
 
-    Each round takes the least label among a node's neighbours and then the label of that label, so that long chains
-    shrink by halves; tables of a round stand in the shared folder and go when the next one is there.
+    Large-star and small-star steps in turn: each node's larger neighbours, then its smaller ones, are tied to the least
+    neighbour instead. Every round removes edges that say the same, so there are never more than at first; when each
+    edge leads to the least node of a star, the stars are the components. A round's table goes when the next is there.
     """
-    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    a, b = F.col("a"), F.col("b")
+    edges = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), "edges")
     while True:
-        of = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        step = edges.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("least"))
-        step = labels.join(step, "node").select("node", F.least("label", "least").alias("label"), F.col("label").alias("old"))
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = written(step.join(roots, "label", "left").select("node", F.least("label", F.coalesce("root", "label")).alias("label"), "old"), "labels")
-        changed = jumped.where("label <> old").limit(1).count()
-        discard(labels)
-        labels = jumped
-        if not changed:
-            discard(edges)
-            out = labels.select("node", "label")
-            out._tessera_path = labels._tessera_path
+        least = edges.groupBy(F.col("b").alias("u")).agg(F.lit(True).alias("center"))
+        inner = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        # done when every larger end has one edge and no smaller end is some edge's larger end
+        open_ = inner.where("n > 1").select("a").union(inner.join(least, inner["a"] == least["u"], "left_semi").select("a"))
+        if not open_.limit(1).count():
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            out = out.union(edges.select(F.col("b"), F.col("b")).distinct())
+            out._tessera_path = edges._tessera_path
             return out
-
-
-def _rest(clusters: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, most: int, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components of one cluster.
-
-    Each member outside its cluster's main component meets every member of another component, block against block, so no
-    task holds more than two blocks of a cluster whatever its size. Members at signature distance ``most`` or less are
-    compared on full sets where they meet; only links leave the task, one for a member and component at most.
+        # large star: larger neighbours v of u go to the least of u and its neighbours
+        large = edges.join(inner.select(F.col("a").alias("u"), "m"), edges["b"] == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        # small star: u and its smaller neighbours go to the least of them
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(low, large["a"] == low["u"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        after = written(small.select("e.a", "e.b").where("a > b").distinct(), "edges")
+        discard(edges)
+        edges = after
+
+
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, most: int, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one bucket; ``members`` are (key, node) of buckets of three or more.
+
+    Of buckets with the same members one is taken. Each member outside its bucket's largest component meets every member
+    of another component, block against block, so no task holds more than two blocks of a bucket whatever its size.
+    Members at signature distance ``most`` or less are compared on full sets where they meet, until they are joined.
     """
-    placed = clusters.withColumnRenamed("label", "cluster").join(labels, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("label"))
-    of = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    open_ = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("n", "label")).alias("main")).where("kinds > 1").select("cluster", "main")
-    rows = placed.join(open_, "cluster").join(nodes.select("node", "signature"), "node").join(texts, "node").select("cluster", "node", "label", "main", "signature", "text")
-    rows = written(rows, "open")
-    size = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    rows = rows.join(size, "cluster")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    few = rows.where("label <> main").select("cluster", mine.alias("i"), F.explode(every).alias("j"), "node", "label", "signature", "text", F.lit(True).alias("few"))
-    all_ = rows.select("cluster", F.explode(every).alias("i"), mine.alias("j"), "node", "label", "signature", "text", F.lit(False).alias("few"))
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    of = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("y"))
+    of = of.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("largest"), *(F.sum(c).alias(c) for c in ("n", "x", "y"))).where("kinds > 1")
+    open_ = written(of.groupBy("n", "x", "y").agg(F.min(F.struct("key", "main", "largest")).alias("one")).select("one.*", "n"), "open")
+    rows = written(placed.join(open_, "key").select("key", "node", "label", "main", "n", "largest"), "open")
+    sets = texts.join(rows.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "signature"), "node")
+    sets = written(per_row(sets.select("node", "signature", "text"), lambda n, g, t: (n, g, shingles(t, width).tobytes()), "node long, signature binary, shingles binary"), "sets")
+    rows = rows.join(sets, "node")
+    bytes_of = rows.groupBy("key").agg(F.sum(F.length("shingles")).alias("bytes"), F.sum(F.when(F.col("label") != F.col("main"), F.length("shingles")).otherwise(0)).alias("few_bytes"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    rows = rows.join(bytes_of, "key").withColumns({"across": blocks(F.col("n"), F.col("bytes")), "down": blocks(F.col("n") - F.col("largest"), F.col("few_bytes"))})
+    mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cell = F.xxhash64("key", "i", "j").alias("cell")
+    columns = [cell, "node", "label", "signature", "shingles"]
+    few = rows.where("label <> main").withColumn("i", mine(F.col("down"))).withColumn("j", every(F.col("across"))).select(*columns, F.lit(True).alias("few"))
+    all_ = rows.withColumn("i", every(F.col("down"))).withColumn("j", mine(F.col("across"))).select(*columns, F.lit(False).alias("few"))
 
     def compare(table: pa.Table) -> pa.Table:
         label, node = table.column("label").to_numpy(), table.column("node").to_numpy()
         few = table.column("few").to_numpy(zero_copy_only=False)
-        text = table.column("text")
+        sets = table.column("shingles")
         s = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
-        sets: dict[int, np.ndarray] = {}
-
-        def set_of(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = shingles(text[k].as_py(), width)
-            return sets[k]
-
+        _, now = np.unique(label, return_inverse=True)  # component of each row, joined as links are found
         found: list[tuple[int, int]] = []
         others = np.flatnonzero(~few)
+        met = s[others]
         for x in np.flatnonzero(few).tolist():
-            y = others[label[others] != label[x]]
-            apart = (s[y] != s[x]).sum(axis=1)
-            near = np.flatnonzero(apart <= most)
-            met: set[int] = set()
-            for k in y[near[np.argsort(apart[near], kind="stable")]].tolist():
-                if int(label[k]) not in met and similar(set_of(x), set_of(k), percent):
-                    met.add(int(label[k]))
-                    found.append((int(node[x]), int(node[k])))
+            apart = (met != s[x]).sum(axis=1)
+            near = np.flatnonzero((apart <= most) & (now[others] != now[x]))
+            mine = None
+            for k in others[near[np.argsort(apart[near], kind="stable")]].tolist():
+                if now[k] != now[x]:
+                    mine = np.frombuffer(sets[x].as_py(), np.uint64) if mine is None else mine
+                    if similar(mine, np.frombuffer(sets[k].as_py(), np.uint64), percent):
+                        now[now == now[k]] = now[x]
+                        found.append((int(node[x]), int(node[k])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return few.union(all_).groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    return few.union(all_).groupBy("cell").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, k: int = COMPONENTS, chunks: int = CHUNKS) -> DataFrame:
@@ -265,14 +273,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = written(_confirmed(pairs, texts, width, percent), "links")
     labels = components(links)
-    meets = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(members.join(buckets.select("key", "low"), "key").select("node", "low"))
-    clusters = components(meets.distinct())
-    late = written(_rest(clusters, labels, nodes, texts, most, width, percent), "late")
+    late = written(_rest(members.select("key", "node"), labels, nodes, texts, most, width, percent), "late")
     if late.limit(1).count():
+        # what is a star already goes in as one
+        joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(late))
         discard(labels)
-        labels = components(links.union(late))
-    discard(clusters, late, links)
-    discard(texts, members, buckets, pairs)
+        labels = joined
+    discard(late, links, texts, members, buckets, pairs)
 
     placed = signed.join(labels, "node", "left").select("doc_id", "digest", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
