@@ -1,11 +1,12 @@
 """Quality rules with n-gram perplexity.
 
-Each language has a model of n-grams of whole code points, counted over all its documents. A document is scored by the
-counts of all others: its own are taken off. The counts stay hash-partitioned in Spark; each part of the documents asks for
-the n-grams that it holds and gets their counts beside its rows, so nothing that grows with the corpus reaches the driver
-or every task. Documents whose perplexity, by symbol or by word, leaves their language's band are rejected.
+Each language has a modified Kneser-Ney model of n-grams of 1 to 4 whole code points, counted by Spark over all of its
+documents: occurrences for the highest order, distinct preceding symbols for the lower ones. A document is scored by all
+others: its own occurrences, and what only they add to lower orders, are taken off exactly.
 
-The 64-symbol model (``codes``, ``Model``, ``Scorer``) judges nothing here; its tests use it.
+The model is a set of sorted hash arrays, dealt by ranges of the hash. Every part of the documents asks for the n-grams
+that it holds and is sent their statistics beside its rows, so nothing that grows with the corpus reaches the driver or
+every task. Documents whose perplexity, by symbol or by word, leaves their language's band are rejected.
 """
 
 from __future__ import annotations
@@ -13,77 +14,28 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, groupby
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, code_points, quoted, splits, tune, written
+from .common import arrow_map, code_points, discard, quoted, splits, tune, written
 
-ORDER = 4
-BITS = 6
-END = 63
 #: Band half-widths beyond the quartiles, in interquartile ranges of the language's own log perplexities.
-FENCE = 4.0
+FENCE = 3.0
+#: Words at which a text's own length and the differences between texts add as much to the spread of log perplexities.
+EVEN_WORDS = 300
+#: Steps of a log perplexity in which quartiles are counted, so that they are exact and the same in every run.
+STEPS = 10_000
 #: Rules of the base verdict.
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
 _SYMBOLS = b"#*$%&|<>"
-
-
-def _fold() -> np.ndarray:
-    table = np.full(256, 49, np.uint8)
-    for c in range(26):
-        table[97 + c] = 1 + c
-    table[65:91] = 62
-    table[48:58] = 27
-    for c in b" \t\x0b\x0c\r":
-        table[c] = 28
-    table[10] = 29
-    table[33:48] = table[58:65] = table[91:97] = table[123:127] = 48
-    for i, c in enumerate(b".,;:!?\"'-("):
-        table[c] = 30 + i
-    table[ord(")")] = 39
-    for i, c in enumerate(_SYMBOLS):
-        table[c] = 40 + i
-    table[0x80:0xC0] = 50 + (np.arange(64) & 7)
-    table[0xC0:0xC4] = 58
-    table[0xC4:0xE0] = 59
-    table[0xE0:0xF0] = 60
-    table[0xF0:] = 61
-    return table
-
-
-FOLD = _fold()
-_HASH = np.uint64(0x9E3779B97F4A7C15)
-
-
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(4-gram code at each symbol of each text, where each text's codes begin); each text ends with an end symbol."""
-    gap = b"\0" * (ORDER - 1)
-    lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts)) + 1
-    joined = np.frombuffer(b"".join(x for t in texts for x in (gap, t, b"\0")), np.uint8)
-    x = FOLD[joined].astype(np.int32)
-    starts = np.cumsum(lengths + ORDER - 1) - lengths
-    ends = starts + lengths - 1
-    x[ends] = END
-    for k in range(1, ORDER):
-        x[starts - k] = 0
-    code = x[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        code |= x[ORDER - 1 - k : len(x) - k] << (BITS * k)
-    keep = np.ones(len(code), bool)
-    for k in range(1, ORDER):
-        at = starts - k - (ORDER - 1)
-        keep[at[at >= 0]] = False
-    begins = np.cumsum(lengths) - lengths
-    return code[keep], begins
-
-
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in _SYMBOLS)
 
 
@@ -91,95 +43,6 @@ def n_symbols(text: bytes) -> int:
     return len(text.translate(None, _NOT_SYMBOL))
 
 
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney's D1, D2, D3+ from the counts of counts, at index 1 to 3."""
-    t = [float(np.count_nonzero(n == k)) for k in range(1, 5)]
-    if min(t[:3]) <= 0:
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = t[0] / (t[0] + 2 * t[1])
-    d = [k - (k + 1) * y * t[k] / t[k - 1] for k in range(1, 4)]
-    return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))])
-
-
-class Model:
-    """For each order, sorted hashes of its n-grams with log probabilities, and of its contexts with backoff weights."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray) -> None:
-        grams, counts = {ORDER: code.astype(np.int64)}, {ORDER: n.astype(np.int64)}
-        for k in range(ORDER - 1, 0, -1):  # lower orders count the symbols seen before them
-            grams[k], counts[k] = np.unique(grams[k + 1] & ((1 << BITS * k) - 1), return_counts=True)
-        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        lower = None
-        for k in range(1, ORDER + 1):
-            g, c = grams[k], counts[k]
-            d = _discounts(c)[np.minimum(c, 3)]
-            contexts, at = np.unique(g >> BITS, return_inverse=True)
-            total = np.bincount(at, c, len(contexts))
-            back = np.bincount(at, d, len(contexts)) / total
-            if lower is None:
-                below = np.full(len(g), 1.0 / (END + 1))
-            else:
-                below = lower[np.searchsorted(grams[k - 1], g & ((1 << BITS * (k - 1)) - 1))]
-            p = (c - d) / total[at] + back[at] * below
-            lower = p
-            self.orders.append((*self._sorted(g, k, np.log(p)), *self._sorted(contexts, k, np.log(back))))
-
-    @staticmethod
-    def _hash(gram: np.ndarray, k: int) -> np.ndarray:
-        return (gram.astype(np.uint64) + np.uint64(k << 40)) * _HASH
-
-    def _sorted(self, gram: np.ndarray, k: int, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = self._hash(gram, k)
-        order = np.argsort(key)
-        return key[order], value[order].astype(np.float32)
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def log_p(self, code: np.ndarray) -> np.ndarray:
-        """Natural log probability of each 4-gram's last symbol after its first three."""
-        code = code.astype(np.int64)
-        out = np.zeros(len(code))
-        todo = np.arange(len(code))
-        for k in range(ORDER, 0, -1):
-            keys, value, contexts, back = self.orders[k - 1]
-            gram = code[todo] & ((1 << BITS * k) - 1)
-            at, hit = self._find(keys, self._hash(gram, k))
-            out[todo[hit]] += value[at[hit]] if len(value) else 0
-            todo, gram = todo[~hit], gram[~hit]
-            if not len(todo):
-                return out
-            at, known = self._find(contexts, self._hash(gram >> BITS, k))
-            out[todo[known]] += back[at[known]] if len(back) else 0
-        out[todo] += -np.log(END + 1)
-        return out
-
-
-class Scorer:
-    """Log perplexities of batches; a task looks each distinct 4-gram up once."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.cache = np.zeros(1 << BITS * ORDER, np.float32)  # 0 where not looked up yet: pages never touched cost nothing
-
-    def __call__(self, texts: list[bytes]) -> list[float]:
-        if not texts:
-            return []
-        code, begins = codes(texts)
-        p = self.cache[code]
-        missing = np.flatnonzero(p == 0)
-        if len(missing):
-            fresh = np.unique(code[missing])
-            self.cache[fresh] = self.model.log_p(fresh)
-            p = self.cache[code]
-        lengths = np.diff(np.append(begins, len(code)))
-        return (-np.add.reduceat(p.astype(np.float64), begins) / lengths).tolist()
-
-
 def base_statistics(text: bytes) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
     words = text.split()
@@ -209,20 +72,36 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words
 
 
-#: The model: n-grams of 1 to DEPTH whole code points in each language, smoothed as if PRIOR more symbols had been seen.
+#: The highest order of the model.
 DEPTH = 4
-PRIOR = 4.0
 #: Symbols in a piece of a text, and bytes that are scored at once.
 PIECE = 64
 AT_ONCE = 300_000
+#: Ranges of the hash that the model is dealt into, as a power of two, at most.
+MOST_BITS = 14
 _PAD, _STOP = 0x110000, 0x110001
 _LETTER = np.array([chr(c).isalnum() for c in range(128)] + [True])
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_UNMIX = np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+_SHIFT = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWER = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(DEPTH + 1)]
+_ORDER = [np.uint64((k + 1) * 0x632BE59BD9B4E019 % (1 << 64)) for k in range(DEPTH + 1)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
-    return x ^ (x >> np.uint64(29))
+    return x ^ (x >> np.uint64(32))
+
+
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`_mixed`."""
+    x = (x ^ (x >> np.uint64(32))) * _UNMIX
+    return x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+
+
+def _symbol(x: np.ndarray) -> np.ndarray:
+    return _mixed(x.astype(np.uint64) * _HASH + np.uint64(1))
 
 
 def _salt(lang: str | None) -> int:
@@ -232,8 +111,8 @@ def _salt(lang: str | None) -> int:
 class Grams:
     """The n-grams that end at each symbol of each text: hashes by order, and where each text begins.
 
-    A text begins with a pad, which is counted but not scored, and ends with a stop. So an n-gram is followed by a symbol
-    as often as it occurs, and its own count is that of the context.
+    A text begins with a pad, which is a context but never predicted, and ends with a stop. A hash mixes a polynomial in
+    the symbols, so that what an n-gram is without its first or its last symbol follows from the hash and that symbol.
     """
 
     def __init__(self, texts: list[bytes], langs: list[str | None]) -> None:
@@ -241,81 +120,167 @@ class Grams:
         self.lengths = np.fromiter((len(p) + 2 for p in points), np.int64, len(points))
         self.begins = np.cumsum(self.lengths) - self.lengths
         edge = np.array([_STOP, _PAD], np.uint32)
-        x = np.concatenate([edge[1:], *(y for p in points for y in (p, edge))])[:-1].astype(np.uint64)
+        self.x = x = np.concatenate([edge[1:], *(y for p in points for y in (p, edge))])[:-1]
         self.doc = np.repeat(np.arange(len(texts)), self.lengths)
         salts = {lang: _salt(lang) for lang in set(langs)}
-        h = np.array([salts[lang] for lang in langs], np.uint64)[self.doc]
+        self.salt = np.array([salts[lang] for lang in langs], np.uint64)
+        h = self.salt[self.doc]
         place = np.arange(len(x)) - self.begins[self.doc]
-        self.orders = [h]
+        self.inner = place > 0
         letter = _LETTER[np.minimum(x, 128)] & (x < _PAD)
         self.word_begins = letter & ~np.append(False, letter[:-1])
-        symbol = _mixed(x * _HASH + np.uint64(1))
+        symbol = _symbol(x)
         turned = np.zeros(len(x), np.uint64)
-        factor = np.array([1], np.uint64)
+        self.orders = [_mixed(h + _ORDER[0])]
+        self.oldest = [x]
         for k in range(DEPTH):  # symbols before a text's begin are pads
-            seen = symbol if not k else np.where(place >= k, np.concatenate([symbol[:k], symbol[:-k]]), symbol[0])
-            turned = turned + seen * factor
-            factor = factor * _HASH
-            self.orders.append(_mixed(h + turned + np.uint64(k + 1)))
+            inside = place >= k
+            turned = turned + (symbol if not k else np.where(inside, np.concatenate([symbol[:k], symbol[:-k]]), symbol[0])) * _POWER[k]
+            self.orders.append(_mixed(h + turned + _ORDER[k + 1]))
+            self.oldest.append(x if not k else np.where(inside, np.concatenate([x[:k], x[:-k]]), np.uint32(_PAD)))
+
+
+def shorter(keys: np.ndarray, k: int, oldest: np.ndarray, newest: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of n-grams of order ``k`` without their first symbol, and without their last."""
+    turned = _unmixed(keys) - _ORDER[k] - salt
+    suffix = turned - _symbol(oldest) * _POWER[k - 1]
+    context = (turned - _symbol(newest)) * _SHIFT
+    return _mixed(suffix + salt + _ORDER[k - 1]), _mixed(context + salt + _ORDER[k - 1])
+
+
+#: What a part says of an n-gram: how often it has it, its first and last symbol, and its language's salt.
+ASKED = np.dtype([("n", "<i4"), ("oldest", "<u4"), ("newest", "<u4"), ("salt", "<u8")])
+#: What the corpus says: occurrences (highest order) or distinct preceding symbols; as a context, the sum of its followers'
+#: counts, and how many followers have a count of one, two, and more.
+STATS = np.dtype([("n", "<i8"), ("total", "<i8"), ("one", "<i4"), ("two", "<i4"), ("more", "<i4")])
+
+
+def _begins(s: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
 
 
-def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of each key's distinct form, distinct keys, their counts or sums of n)."""
+def _first_of_each(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A place for each distinct key."""
     at, distinct = pd.factorize(keys)
-    return at, distinct, np.bincount(at, n, len(distinct)).astype(np.int64)
+    first = np.empty(len(distinct), np.int64)
+    first[at] = places
+    return first
 
 
-def gram_counts(grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of all orders, by hash."""
-    keys, counts, places, n = [], [], None, None
-    for h in reversed(grams.orders):
-        at, distinct, n = _counted(h if places is None else h[places], n)
+def gram_counts(grams: Grams) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 0 (keys, what is asked of them), by key; pads are asked for as contexts alone, with a count of 0."""
+    out = []
+    places, n = np.arange(len(grams.doc)), grams.inner.astype(np.int64)
+    for k in range(DEPTH, -1, -1):
+        at, distinct = pd.factorize(grams.orders[k][places])
+        n = np.bincount(at, n, len(distinct)).astype(np.int64)
         first = np.empty(len(distinct), np.int64)
-        first[at] = np.arange(len(at)) if places is None else places
-        keys.append(distinct)
-        counts.append(n)
+        first[at] = places
+        asked = np.empty(len(distinct), ASKED)
+        asked["n"], asked["oldest"], asked["newest"], asked["salt"] = n, grams.oldest[k][first], grams.x[first], grams.salt[grams.doc[first]]
+        order = np.argsort(distinct)
+        out.append((distinct[order], asked[order]))
         places = first
-    return summed(np.concatenate(keys), np.concatenate(counts))
+    return out[::-1]
+
+
+def summed(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys' counts added up, by key."""
+    order = np.argsort(keys, kind="stable")
+    keys, asked = keys[order], asked[order]
+    begins = _begins(keys)
+    n = np.add.reduceat(asked["n"], begins) if len(keys) else asked["n"]
+    keys, asked = keys[begins], asked[begins].copy()
+    asked["n"] = n
+    return keys, asked
+
+
+def added(keys: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys' statistics added up, by key."""
+    order = np.argsort(keys, kind="stable")
+    keys, stats = keys[order], stats[order]
+    begins = _begins(keys)
+    out = np.zeros(len(begins), STATS)
+    for name in STATS.names if len(keys) else ():
+        out[name] = np.add.reduceat(stats[name], begins)
+    return keys[begins], out
+
 
+def _kinds(n: np.ndarray) -> list[np.ndarray]:
+    return [n == 1, n == 2, n > 2]
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal keys added up, by key."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[begins], np.add.reduceat(counts, begins)
 
+def contributions(keys: np.ndarray, k: int, n: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What distinct n-grams of order ``k`` with counts ``n`` > 0 add to the next lower order, by key."""
+    suffix, context = shorter(keys, k, asked["oldest"], asked["newest"], asked["salt"])
+    out = np.zeros(2 * len(keys), STATS)
+    out["n"][: len(keys)] = 1
+    out["total"][len(keys) :] = n
+    for name, of in zip(("one", "two", "more"), _kinds(n)):
+        out[name][len(keys) :] = of
+    return added(np.concatenate([suffix, context]), out)
 
-def symbol_nats(grams: Grams, total: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Negative log probability of each symbol of each text, 0 for pads, by the counts of all other texts; ``total`` looks whole counts up."""
 
-    def elsewhere(keys: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
-        at, distinct, _ = _counted(keys)
-        own, _, mine = _counted(keys ^ salt[doc], n)
-        return np.maximum(total(distinct)[at] - mine[own], 0).astype(np.float64)
+def discounts(tallies: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney's D1, D2, D3+ at index 1 to 3, from how many n-grams have a count of 1 to 4."""
+    t = [float(x) for x in tallies]
+    if min(t[:3]) <= 0:
+        return np.array([0.0, 0.5, 0.75, 0.9])
+    y = t[0] / (t[0] + 2 * t[1])
+    d = [i - (i + 1) * y * t[i] / t[i - 1] for i in range(1, 4)]
+    return np.array([0.0, *(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))])
+
 
+def symbol_nats(grams: Grams, stats_of: Callable[[int, np.ndarray], np.ndarray], discount: np.ndarray) -> np.ndarray:
+    """Negative log probability of each symbol of each text, 0 for pads, by all other texts.
+
+    ``stats_of(k, keys)`` looks up what the whole corpus says of n-grams of order k. For each text, its own occurrences
+    go; an n-gram that no other text has then no longer stands before its suffix, and so on down the orders.
+    """
     salt = _mixed(np.arange(1, len(grams.lengths) + 1).astype(np.uint64) * _HASH)
-    # each order's (text, n-gram) pairs: (index of the order above's pairs here, a place, how often)
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    places, n = np.arange(len(grams.doc)), None
-    for h in reversed(grams.orders):
-        at, distinct, n = _counted(h[places] ^ salt[grams.doc[places]], n)
-        first = np.empty(len(distinct), np.int64)
-        first[at] = places
-        levels.append((at, first, n))
-        places = first
-    levels.reverse()
-    p = np.full(len(places), 1.0 / (_STOP + 1))
+    # for each order, the distinct (text, n-gram): where one stands, and each of the order above's (or place's) index here
+    first: list[np.ndarray] = [np.zeros(0, np.int64)] * (DEPTH + 1)
+    index = [np.zeros(0, np.int64)] * (DEPTH + 1)
+    places = np.arange(len(grams.doc))
+    for k in range(DEPTH, -1, -1):
+        index[k], distinct = pd.factorize(grams.orders[k][places] ^ salt[grams.doc[places]])
+        first[k] = np.empty(len(distinct), np.int64)
+        first[k][index[k]] = places
+        places = first[k]
+
+    stats, context = [], [np.zeros(0, np.int64)]
+    for k in range(DEPTH + 1):
+        at, distinct = pd.factorize(grams.orders[k][first[k]])
+        stats.append(stats_of(k, distinct)[at])
+        if k:
+            here = np.maximum(first[k] - 1, 0)  # the place before a pad is no context of it, but pads are not predicted
+            for j in range(DEPTH, k - 2, -1):
+                here = index[j][here]
+            context.append(here)
+
+    left = stats[DEPTH]["n"] - np.bincount(index[DEPTH], grams.inner, len(first[DEPTH])).astype(np.int64)
+    counts: list[np.ndarray] = [np.zeros(0)] * (DEPTH + 1)
+    totals: list[np.ndarray] = [np.zeros(0)] * DEPTH
+    kinds: list[list[np.ndarray]] = [[]] * DEPTH
+    for k in range(DEPTH, 0, -1):
+        whole = np.where(grams.inner[first[k]], stats[k]["n"], 0)
+        left = np.where(grams.inner[first[k]], np.maximum(left, 0), 0)
+        counts[k] = left
+        size = len(first[k - 1])
+        totals[k - 1] = stats[k - 1]["total"] - np.bincount(context[k], whole - left, size)
+        moved = np.flatnonzero(whole != left)  # elsewhere a follower's kind is what it was
+        to = context[k][moved]
+        kinds[k - 1] = [stats[k - 1][name] - np.bincount(to, a, size) + np.bincount(to, b, size) for name, a, b in zip(("one", "two", "more"), _kinds(whole[moved]), _kinds(left[moved]))]
+        gone = (whole > 0) & (left == 0)
+        left = stats[k - 1]["n"] - np.bincount(index[k - 1], gone, size).astype(np.int64)
+
+    p = np.full(len(first[0]), 1.0 / (_STOP + 1))
     for k in range(1, DEPTH + 1):
-        _, places, n = levels[k]
-        doc = grams.doc[places]
-        here = elsewhere(grams.orders[k][places], doc, n)
-        contexts = places if k == 1 else places - 1  # the place before a pad ends another text: no context of this one
-        before = elsewhere(grams.orders[k - 1][contexts], doc, n)
-        p = (here + PRIOR * p[levels[k - 1][0]]) / (before + PRIOR)
-    nats = -np.log(p)[levels[DEPTH][0]]
+        d, c, total = discount[k], counts[k], totals[k - 1]
+        seen = total > 0
+        back = np.where(seen, sum(x * y for x, y in zip(d[1:], kinds[k - 1])) / np.maximum(total, 1), 1.0)
+        p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total, 1)[context[k]] + back[context[k]] * p[index[k - 1]]
+    nats = -np.log(p)[index[DEPTH]]
     nats[grams.begins] = 0
     return nats
 
@@ -346,59 +311,107 @@ def log_perplexities(grams: Grams, nats: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _small(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
-    """A batch's rows, (part, at, doc_id, text, lang), a few at a time: tables of their n-grams then fit a processor's cache."""
-    rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-    begin = size = 0
-    for i, row in enumerate(rows):
-        size += len(row[3]) + 2
-        if size >= AT_ONCE or i + 1 == len(rows):
-            yield rows[begin : i + 1]
-            begin, size = i + 1, 0
+def _rows_at_once(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows at a time, so that tables of their n-grams fit a processor's cache."""
+    sizes = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    cut = np.cumsum(sizes + 2) // AT_ONCE
+    edges = np.append(_begins(cut), len(cut))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield batch.slice(a, b - a)
 
 
-def _part_counts(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts, waiting = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+def _part_counts(batches: Iterable[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[(np.zeros(0, np.uint64), np.zeros(0, ASKED))] for _ in range(DEPTH + 1)]
+    join = lambda of: summed(np.concatenate([k for k, _ in of]), np.concatenate([a for _, a in of]))
+    waiting = 0
     for batch in batches:
-        for rows in _small(batch):
-            k, c = gram_counts(Grams([r[3] for r in rows], [r[4] for r in rows]))
-            keys.append(k)
-            counts.append(c)
-            waiting += len(k)
-        if waiting > 1_000_000:
-            k, c = summed(np.concatenate(keys), np.concatenate(counts))
-            keys, counts, waiting = [k], [c], 0
-    return summed(np.concatenate(keys), np.concatenate(counts))
+        for some in _rows_at_once(batch):
+            for of, found in zip(held, gram_counts(Grams(some.column("text").to_pylist(), some.column("lang").to_pylist()))):
+                of.append(found)
+                waiting += len(found[0])
+            if waiting > 2_000_000:
+                held, waiting = [[join(of)] for of in held], 0
+    return [join(of) for of in held]
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """A structured array field by field, which compresses."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(a[name]).tobytes() for name in a.dtype.names), 1)
+
+
+def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    out = np.empty(len(raw) // kind.itemsize, kind)
+    at = 0
+    for name in kind.names:
+        field = np.frombuffer(raw, kind[name], len(out), at)
+        out[name] = field
+        at += field.nbytes
+    return out
+
+
+def _by_range(keys: np.ndarray, values: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    for i, (a, b) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(keys)])):
+        if b > a:
+            yield i, keys[a:b].tobytes(), _packed(values[a:b])
 
 
-COUNTED = np.dtype([("key", "<u8"), ("n", "<i8")])
+MODEL = "part long, at long, keys binary, data binary, tally array<long>"
 
 
-def counts_for_parts(rows: DataFrame, n: int) -> DataFrame:
-    """(part, at, payload): the n-grams that a part of ``rows`` holds, by hash, with the whole corpus's counts."""
-    bits = max(4, (2 * n - 1).bit_length())
+def model_for_parts(rows: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, list[DataFrame]]:
+    """((part, k, keys, data): the statistics of the n-grams of order k that a part of ``rows`` holds; discounts by order; tables to discard).
+
+    From the highest order down, a range of the hash adds up what parts have (or what the order above says), answers the
+    parts, and adds to the order below. Discounts are common to all languages.
+    """
+    bits = min(MOST_BITS, max(4, (2 * n - 1).bit_length()))
 
     def ask(batches):
         first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        part = first.column("part")[0].as_py()
-        keys, counts = _part_counts(chain([first], batches))
-        edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        yield [(part, i, keys[a:b].tobytes(), counts[a:b].astype(np.int32).tobytes()) for i, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)])) if b > a]
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
-        every, counts = summed(np.concatenate(keys), np.concatenate([np.frombuffer(x, np.int32) for x in frame["counts"]]).astype(np.int64))
-        payload = []
-        for k in keys:
-            pairs = np.empty(len(k), COUNTED)
-            pairs["key"], pairs["n"] = k, counts[np.searchsorted(every, k)]
-            payload.append(pairs.tobytes())
-        return pd.DataFrame({"part": frame["part"], "at": frame["at"], "payload": payload})
-
-    asked = arrow_map(rows, ask, "part long, at long, keys binary, counts binary")
-    return asked.groupBy("at").applyInPandas(answer, "part long, at long, payload binary")
+        if first is not None:
+            part = first.column("part")[0].as_py()
+            for k, found in enumerate(_part_counts(chain([first], batches))):
+                yield [(k, part, *x) for x in _by_range(*found, bits)]
+
+    def level(k):
+        def answer(frame: pd.DataFrame) -> pd.DataFrame:
+            told = frame["part"] < 0
+            asked = [(part, np.frombuffer(x, np.uint64), _unpacked(y, ASKED)) for part, x, y in zip(frame["part"][~told], frame["keys"][~told], frame["data"][~told])]
+            mine = [np.zeros(0, np.uint64), *(x for _, x, _ in asked)], [np.zeros(0, ASKED), *(y for _, _, y in asked)]
+            keys, of = summed(*map(np.concatenate, mine))
+            if k == DEPTH:
+                stats = np.zeros(len(keys), STATS)
+                stats["n"] = of["n"]
+            else:  # every key that the order above tells of was asked for
+                known, sums = added(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in frame["keys"][told])]), np.concatenate([np.zeros(0, STATS), *(_unpacked(y, STATS) for y in frame["data"][told])]))
+                stats = np.zeros(len(keys), STATS)
+                stats[np.searchsorted(keys, known)] = sums
+            out = [(part, k, x.tobytes(), _packed(stats[np.searchsorted(keys, x)]), None) for part, x, _ in asked]
+            real = stats["n"] > 0
+            if k:
+                out += [(-1, at, x, y, None) for at, x, y in _by_range(*contributions(keys[real], k, stats["n"][real], of[real]), bits)]
+            out.append((-2, k, None, None, [int((stats["n"] == i).sum()) for i in range(1, 5)]))
+            return pd.DataFrame(out, columns=["part", "at", "keys", "data", "tally"])
+
+        return answer
+
+    asked = written(arrow_map(rows, ask, "k long, part long, at long, keys binary, data binary"), "asked")
+    tables, told, tallies = [asked], None, np.zeros((DEPTH + 1, 4), np.int64)
+    for k in range(DEPTH, -1, -1):
+        mine = asked.where(F.col("k") == k).select("part", "at", "keys", "data")
+        found = written((mine if told is None else mine.union(told)).groupBy("at").applyInPandas(level(k), MODEL), f"order{k}")
+        of = found.where("part = -2").agg(*(F.coalesce(F.sum(F.col("tally")[i]), F.lit(0)) for i in range(4))).first()
+        tallies[k] = of
+        told = found.where("part = -1").select("part", "at", "keys", "data")
+        tables.append(found)
+    discard(asked)
+    answers = [t.where("part >= 0").select("part", F.col("at").alias("k"), "keys", "data") for t in tables[1:]]
+    out = answers[0]
+    for x in answers[1:]:
+        out = out.union(x)
+    return out, np.array([discounts(t) for t in tallies]), tables[1:]
 
 
 SCORED = "at long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, word_log_perplexity double, core double, word_core double"
@@ -410,65 +423,114 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("at", F.monotonically_increasing_id())
 
 
+def _blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows as compressed pieces, for less to be dealt out."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        for some in _rows_at_once(batch) if batch.num_rows else ():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, some.schema, options=options) as out:
+                out.write_batch(some)
+            yield [(some.column("part")[0].as_py(), None, some.column("at")[0].as_py(), sink.getvalue().to_pybytes())]
+
+
 def _scored(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Every row's statistics and perplexities. Each part of the documents meets the counts of its own n-grams."""
+    """Every row's statistics and perplexities, as a written table. Each part of the documents meets the model of its own n-grams."""
     tune(docs.sparkSession)
     n = max(1, splits(docs))
     chosen = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")).alias("text"), quoted(lang_col).cast("string").alias("lang"))
     rows = _numbered(chosen).select(F.shiftright("at", 33).alias("part"), "at", "doc_id", "text", "lang")
-    counts = counts_for_parts(rows, n)
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    before = counts.select("part", (F.col("at") - F.lit(1 << 40)).alias("at"), none("long", "doc_id"), F.col("payload").alias("text"), none("string", "lang"))
+    model, discount, tables = model_for_parts(rows, n)
+    texts = arrow_map(rows, _blobs, "part long, k long, at long, data binary").select("part", "k", "at", F.lit(None).cast("binary").alias("keys"), "data")
 
     def score(batches):
-        payload, keys, counts = [], None, None
+        held, order = [[] for _ in range(DEPTH + 1)], None
 
-        def total(wanted):
-            order = np.argsort(wanted)  # in order, the search stays in the cache
+        def stats_of(k, wanted):
+            keys, stats = order[k]
+            by = np.argsort(wanted)  # in order, the search stays in the cache
             found = np.empty(len(wanted), np.int64)
-            found[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
+            found[by] = np.minimum(np.searchsorted(keys, wanted[by]), len(keys) - 1)
             if not (keys[found] == wanted).all():
                 raise ValueError("the documents changed between two readings")
-            return counts[found]
-
-        for some in (x for batch in batches for x in _small(batch)):
-            out, texts = [], []
-            for is_text, group in groupby(some, lambda r: r[1] >= 0):
-                if not is_text:
-                    if keys is not None:
-                        payload, keys = [], None
-                    payload += [r[3] for r in group]
+            return stats[found]
+
+        for batch in batches:
+            for k, keys, data in zip(*(batch.column(c).to_pylist() for c in ("k", "keys", "data"))):
+                if k is not None:
+                    if order is not None:
+                        held, order = [[] for _ in range(DEPTH + 1)], None
+                    held[k].append((keys, data))
                     continue
-                if keys is None:
-                    pairs = np.frombuffer(b"".join(payload), COUNTED)
-                    keys, counts = pairs["key"].copy(), pairs["n"].copy()
-                texts = list(group)
-                grams = Grams([r[3] for r in texts], [r[4] for r in texts])
-                for (_, at, d, t, l), x in zip(texts, log_perplexities(grams, symbol_nats(grams, total)).tolist()):
+                if order is None:
+                    order = []
+                    for of in held:
+                        every = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x, _ in of)])
+                        by = np.argsort(every)
+                        order.append((every[by], np.concatenate([np.zeros(0, STATS), *(_unpacked(y, STATS) for _, y in of)])[by]))
+                    held = []
+                some = pa.ipc.open_stream(data).read_all()
+                at, ids, texts, langs = (some.column(c).to_pylist() for c in ("at", "doc_id", "text", "lang"))
+                grams = Grams(texts, langs)
+                out = []
+                for row, t, x in zip(zip(at, ids, langs), texts, log_perplexities(grams, symbol_nats(grams, stats_of, discount)).tolist()):
                     s = base_statistics(t)
-                    out.append((at, d, l, *s, base_failed(s[0], s[4]), *x))
-            if out:
+                    out.append((*row, *s, base_failed(s[0], s[4]), *x))
                 yield out
 
-    # counts sort before the rows that need them
-    together = rows.union(before).repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "at")
-    return arrow_map(together, score, SCORED)
+    # statistics sort before the rows that need them
+    together = model.select("part", "k", F.lit(-1).cast("long").alias("at"), "keys", "data").union(texts.select("part", "k", "at", "keys", "data"))
+    together = together.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "at").select("k", "keys", "data")
+    out = written(arrow_map(together, score, SCORED), "scored")
+    discard(*tables)
+    return out
+
+
+def _spread(n: Column) -> Column:
+    """What the spread of a mean over ``n`` words goes with."""
+    return F.sqrt(1 / F.greatest(n, F.lit(1)) + 1 / EVEN_WORDS)
+
+
+def _quarters(rows: DataFrame, value: Column, *which: int) -> DataFrame:
+    """(of, q1, ...) by lang: the value that so many quarters of the rows do not exceed.
+
+    They are exact for values in steps of 1 / STEPS, by histograms, so reruns agree and no task holds all values.
+    """
+    steps = rows.groupBy("lang", F.floor(value * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("lang")
+    steps = steps.select("lang", "step", F.sum("n").over(whole.orderBy("step")).alias("upto"), F.sum("n").over(whole).alias("all"))
+    return steps.groupBy(F.col("lang").alias("of")).agg(*((F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("step"))) / STEPS).alias(f"q{k}") for k in which))
 
 
 def bands(scored: DataFrame, fence: float = FENCE) -> DataFrame:
-    """(lang, low, high, word_low, word_high) of the log perplexities of texts' cores: quartiles of the documents that pass the base rules, widened."""
-    q = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(c) for c in MEASURES]
-    of = scored.where(~F.col("base_failed")).groupBy("lang").agg(*q)
-    edges = []
-    for c, prefix in zip(MEASURES, ("", "word_")):
-        width = fence * (F.col(c)[1] - F.col(c)[0])
-        edges += [(F.col(c)[0] - width).alias(f"{prefix}low"), (F.col(c)[1] + width).alias(f"{prefix}high")]
-    return of.select("lang", *edges)
+    """(lang, and of each measure its middle, low and high): what documents that pass the base rules may differ from the middle, over :func:`_spread`.
+
+    Low and high are the quartiles of that difference, widened.
+    """
+    good = scored.where(~F.col("base_failed"))
+    out = None
+    for c in MEASURES:
+        middle = _quarters(good, F.col(c), 2).select("of", F.col("q2").alias(f"{c}_middle"))
+        placed = good.join(F.broadcast(middle), good["lang"].eqNullSafe(middle["of"])).drop("of")  # one row for each language
+        q = _quarters(placed, (F.col(c) - F.col(f"{c}_middle")) / _spread(F.col("n_words")), 1, 3)
+        width = fence * (F.col("q3") - F.col("q1"))
+        q = q.select(F.col("of").alias("lang"), (F.col("q1") - width).alias(f"{c}_low"), (F.col("q3") + width).alias(f"{c}_high"))
+        q = q.join(middle, q["lang"].eqNullSafe(middle["of"])).drop("of")
+        if out is not None:
+            q = q.withColumnRenamed("lang", "of")
+            q = out.join(q, out["lang"].eqNullSafe(q["of"])).drop("of")
+        out = q
+    return out
 
 
 def _judged(scored: DataFrame, fence: float) -> DataFrame:
-    limits = F.broadcast(bands(scored, fence).withColumnRenamed("lang", "of"))  # one row for each language
-    out = scored.join(limits, scored["lang"].eqNullSafe(limits["of"]), "left").drop("of")
+    """``scored`` with each document's band (low, high, word_low, word_high) and verdict."""
+    limits = written(bands(scored, fence).withColumnRenamed("lang", "of"), "bands")
+    out = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["of"]), "left")  # one row for each language
+    for c, prefix in zip(MEASURES, ("", "word_")):
+        for end in ("low", "high"):
+            out = out.withColumn(f"{prefix}{end}", F.col(f"{c}_middle") + F.col(f"{c}_{end}") * _spread(F.col("n_words")))
+    out = out.drop("of", *(f"{c}_{x}" for c in MEASURES for x in ("middle", "low", "high")))
     inside = F.col("core").between(F.col("low"), F.col("high")) & F.col("word_core").between(F.col("word_low"), F.col("word_high"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
@@ -478,9 +540,10 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     perplexity is per symbol and word_perplexity per word, over the whole text; the bands hold for texts' cores, see
     :func:`log_perplexities`. Null texts count as empty and fail the base
-    rules; a null language is a language of its own; repeated rows are scored, and counted by the model, each time.
+    rules; a null language is a language of its own; repeated rows are scored, and counted by the model, each time. An empty
+    table gives an empty result.
     """
-    out = _judged(written(_scored(docs, id_col, text_col, lang_col), "scored"), fence)
+    out = _judged(_scored(docs, id_col, text_col, lang_col), fence)
     base = [c for c in out.columns if c not in ("at", "kept", "low", "high", "word_low", "word_high", "log_perplexity", "word_log_perplexity", *MEASURES)]
     exp = lambda c, name: F.exp(c).alias(name)
     return out.select(*base, exp("log_perplexity", "perplexity"), exp("low", "low"), exp("high", "high"), exp("word_log_perplexity", "word_perplexity"), exp("word_low", "word_low"), exp("word_high", "word_high"), "kept")
@@ -491,6 +554,6 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows meet their verdicts by number, so that ids may be null or repeated.
     """
-    scored = written(_scored(docs, id_col, text_col, lang_col), "scored")
+    scored = _scored(docs, id_col, text_col, lang_col)
     plain = _numbered(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))  # no name can clash with the number's
     return plain.join(_judged(scored, fence).where("kept").select("at"), "at", "left_semi").drop("at").toDF(*docs.columns)

@@ -3,7 +3,6 @@
 import collections
 import hashlib
 import html
-import math
 import os
 import random
 import re
@@ -189,23 +188,6 @@ def test_quality_agrees_with_labels(spark, data):
     assert sum(bad) <= 0.2 * len(bad)
 
 
-def test_model_is_a_distribution():
-    rng = random.Random(2)
-    texts = ["".join(rng.choice("abc .") for _ in range(400)).encode() for _ in range(20)]
-    code, counts = np.unique(perplexity.codes(texts)[0], return_counts=True)
-    model = perplexity.Model(code, counts)
-    fold = perplexity.FOLD.astype(int)
-    for context in (b"abc", b"aaa", b"zzz", b"a.b"):
-        a, b, c = (fold[x] for x in context)
-        every = np.array([(a << 18) | (b << 12) | (c << 6) | d for d in range(64)])
-        assert math.isclose(np.exp(model.log_p(every)).sum(), 1, rel_tol=1e-4)
-    scorer = perplexity.Scorer(model)
-    whole = scorer(texts)
-    assert whole == [scorer([t])[0] for t in texts]
-    code, begins = perplexity.codes([b"ab", b"", b"c"])
-    assert begins.tolist() == [0, 3, 4] and len(code) == 6
-
-
 @pytest.mark.parametrize("run", [secrets.scan_secrets, licenses.scan_licenses, lambda d: ogg.read_media(ogg.store_media(d)), perplexity.score_quality, lambda d: html_text.extract_main_text(d, "doc_id", "lang", "text")])
 def test_odd_tables(odd, empty, run):
     got = run(odd)
