@@ -1,8 +1,10 @@
 """Line dedup over a corpus: frequent lines keep only their last document.
 
-Lines are hashed; the hashes are counted with map-side combining, and only the occurrences of frequent hashes are
-range-partitioned by (hash, document descending, position) and streamed, so that a hash which stands in a third of all
-documents spreads over many tasks. What comes back is a compressed keep bitmap for each document, never text.
+Texts are split once, into a table of line hashes. The hashes are counted with map-side combining, and the occurrences of
+frequent ones are range-partitioned by (hash, document descending), sorted by position within and streamed: the first
+document of a hash keeps its lines, all later ones lose theirs. A hash that stands in a third of all documents spreads
+over many tasks; a task that begins in the middle of one cannot know, so it marks that hash's first document, and two rows
+from each task decide about the marks. What comes back is a compressed keep bitmap for each document, never text.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +37,32 @@ def _occurrences(min_chars: int):
     return of
 
 
+#: Of an occurrence: it is dropped; it leads its task, and is dropped if an earlier task ends with its key; a task's end.
+DROPPED, LEADING, ENDING = 0, 1, 2
+STREAMED = "kind int, task int, key binary, doc_id long, digest long, n_lines int, lines array<int>"
+
+
 def _streamed(batches):
-    """Rows sorted by (key, document descending, position): the first document of a key keeps its lines.
+    """Rows sorted by (key, document descending, position) in tasks of that order: all but a key's first document.
 
-    A key may begin in an earlier partition; ``keeper`` says which document is its first, so no task needs another's rows.
+    A key may begin in an earlier task, so the first document of a task's first key only leads. The task's last key is
+    told for the next one. Rows of one document stand together, even if it is there more than once.
     """
+    task = TaskContext.get().partitionId()
+    key, first, led = None, None, None
     for batch in batches:
-        _, docs, digests, n_lines, lines, keepers = (c.to_pylist() for c in batch.columns)
-        yield [(d, g, n, x) for d, g, n, x, k in zip(docs, digests, n_lines, lines, keepers) if d != k]
+        out = []
+        for k, d, g, n, lines in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "digest", "n_lines", "lines"))):
+            if k != key:
+                led = k if key is None else led
+                key, first = k, d
+            if d != first:
+                out.append((DROPPED, task, None, d, g, n, lines))
+            elif k == led:
+                out.append((LEADING, task, k, d, g, n, lines))
+        yield out
+    if key is not None:
+        yield [(ENDING, task, key, None, None, None, None)]
 
 
 def _bitmap(doc_id, digest, n_lines, dropped):
@@ -61,12 +82,16 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with different texts are told apart. An empty table gives an empty result.
     """
     rows = doc_frame(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
-    seen = per_row(rows, _occurrences(min_chars), "key binary, doc_id long, digest long, n_lines int, lines array<int>", many=True)
-    frequent = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
-    frequent = written(frequent, "frequent")  # so that the join deals both sides out itself and can split a hot key
-    hits = seen.join(frequent, "key").select("key", "doc_id", "digest", "n_lines", "lines", "keeper")
-    ordered = ("key", F.col("doc_id").desc_nulls_last(), F.col("lines")[0])
-    dropped = arrow_map(hits.repartitionByRange(*ordered).sortWithinPartitions(*ordered), _streamed, "doc_id long, digest long, n_lines int, lines array<int>")
+    seen = written(per_row(rows, _occurrences(min_chars), "key binary, doc_id long, digest long, n_lines int, lines array<int>", many=True), "lines")
+    frequent = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
+    hits = seen.join(written(frequent, "frequent"), "key")  # from a table, so that the join deals both sides out itself and can split a hot key
+    dealt = hits.repartitionByRange("key", F.col("doc_id").desc_nulls_last()).sortWithinPartitions("key", F.col("doc_id").desc_nulls_last(), F.col("lines")[0])
+    streamed = written(arrow_map(dealt, _streamed, STREAMED), "streamed")
+    # Ends are sorted like the tasks: a key began earlier where a task before this one ends with it. A row for each task.
+    ends = streamed.where(f"kind = {ENDING}").groupBy(F.col("key").alias("of")).agg(F.min("task").alias("since"))
+    leading = streamed.where(f"kind = {LEADING}")
+    late = leading.join(ends, (leading["key"] == ends["of"]) & (ends["since"] < leading["task"]), "left_semi")
+    dropped = streamed.where(f"kind = {DROPPED}").union(late).select("doc_id", "digest", "n_lines", "lines")
     whole = dropped.groupBy("doc_id", "digest").agg(F.first("n_lines").alias("n_lines"), F.collect_list("lines").alias("lines"))
     return per_row(whole, _bitmap, "doc_id long, digest long, n_lines int, n_dropped int, bitmap binary")
 

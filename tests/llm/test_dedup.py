@@ -201,6 +201,34 @@ def test_line_dedup_equals_brute_force(spark, data, texts):
     assert any(k for _, k, _ in got.values())
 
 
+def test_line_dedup_of_a_line_in_most_documents(spark):
+    """A hot line spreads over tasks that begin in its middle; the largest document keeps it, wherever it stands."""
+    hot = "a line that stands in very many documents of this table"
+    rng = random.Random(8)
+    texts = {i: "\n".join([f"own line {i}", hot, *(f"a line that stands in some of the documents {rng.randint(0, 40):02d}" for _ in range(3)), hot]) for i in rng.sample(range(5000), 3000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: t for i, _, _, t in lines_kept(list(texts.items()))}
+
+
+def test_the_stream_needs_its_order(spark):
+    """The first row of a key decides, so rows out of order give other documents."""
+    import pyarrow as pa
+
+    rows = [(b"k", d, 0, 1, [0]) for d in (9, 7, 5)]
+
+    def streamed(batches):
+        yield from (pa.RecordBatch.from_pydict({"doc_id": pa.array([d for out in line_dedup._streamed([b]) for kind, _, _, d, *_ in out if kind == line_dedup.DROPPED], pa.int64())}) for b in batches)
+
+    df = spark.createDataFrame(rows, "key binary, doc_id long, digest long, n_lines int, lines array<int>").coalesce(1)
+    assert [r.doc_id for r in df.mapInArrow(streamed, "doc_id long").collect()] == [7, 5]
+    assert [r.doc_id for r in df.orderBy("doc_id").coalesce(1).mapInArrow(streamed, "doc_id long").collect()] == [7, 9]
+
+
 def test_line_dedup_odd_tables(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     want = lines_kept(rows)
