@@ -151,8 +151,14 @@ def demux(media: bytes) -> dict[int, Track]:
 
 
 def decode(media: bytes) -> tuple[bytes, int, dict]:
-    """(payload, unpadded length, facts)."""
-    tracks = demux(media)
+    """(payload, unpadded length, facts); anything but what :func:`encode` writes raises :class:`OggError`."""
+    try:
+        return _decoded(demux(media))
+    except (struct.error, IndexError, StopIteration) as e:
+        raise OggError(f"streams differ from what was written: {e}") from e
+
+
+def _decoded(tracks: dict[int, Track]) -> tuple[bytes, int, dict]:
     if set(tracks) != {SAMPLES, NOTES}:
         raise OggError("streams differ from what was written")
     sound = tracks[SAMPLES]
@@ -186,17 +192,30 @@ def _store(doc_id, text):
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media) for every row: its text, null as empty, as an Ogg file. Equal texts give equal files."""
+    """(doc_id, n_bytes, media) for every row: its text, null as empty, as an Ogg file.
+
+    Equal texts give equal files, repeated rows repeat, and an empty table gives an empty result.
+    """
     return per_row(doc_frame(docs, id_col, text_col), _store, "doc_id long, n_bytes long, media binary")
 
 
 def _read(doc_id, n_bytes, media):
-    data, told, facts = decode(media)
-    if told != n_bytes:
-        raise OggError(f"{told} bytes noted, {n_bytes} expected")
-    return doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(data, facts), float(facts["stamps_ms"][-1])
+    if media is None:
+        return doc_id, n_bytes, None, None, None, None, None, "no media", None
+    whole = len(media), hashlib.sha256(media).hexdigest()
+    try:
+        data, told, facts = decode(media)
+        if n_bytes is not None and told != n_bytes:
+            raise OggError(f"{told} bytes noted, {n_bytes} expected")
+    except OggError as e:
+        return doc_id, n_bytes, None, None, None, *whole, f"damaged: {e}", None
+    return doc_id, told, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), *whole, features(data, facts), float(facts["stamps_ms"][-1])
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests and features of what :func:`store_media` stored, from the stored bytes alone."""
+    """Digests and features of what :func:`store_media` stored, from the stored bytes alone; ``media`` has doc_id, n_bytes and media.
+
+    A null cell has the feature ``no media`` and a damaged one ``damaged:`` with the reason; what cannot be told of either
+    is null, and no such cell stops a job. A null n_bytes is read from the file. An empty table gives an empty result.
+    """
     return per_row(media.select("doc_id", "n_bytes", F.col("media")), _read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_ms double")

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -136,6 +137,38 @@ def test_ogg_query(spark, data, texts):
         assert f"mean={a.mean():.3f};std={a.std():.3f};" in got[i].feature
 
 
+def plain_pages(packets_by_serial):
+    """Ogg pages by the format's own rules, without the operator's writer: one packet a page, each stream in turn."""
+    out = b""
+    for serial, packets in packets_by_serial:
+        for number, (packet, granule) in enumerate(packets):
+            lacing = [255] * (len(packet) // 255) + [len(packet) % 255]
+            flags = 2 * (number == 0) + 4 * (number == len(packets) - 1)
+            head = lambda crc: b"OggS" + bytes([0, flags]) + granule.to_bytes(8, "little") + serial.to_bytes(4, "little") + number.to_bytes(4, "little") + crc.to_bytes(4, "little") + bytes([len(lacing)]) + bytes(lacing)  # noqa: B023, E731
+            out += head(slow_checksum(head(0) + packet)) + packet
+    return out
+
+
+def test_ogg_reads_pages_of_another_writer():
+    data = bytes(range(256)) * 3
+    head = b"\x01rawpcm8\0" + (8000).to_bytes(4, "little") + b"\1\0\x08\0"
+    media = plain_pages([(ogg.SAMPLES, [(head, 0), (data[:300], 300), (data[300:], 768)]), (ogg.NOTES, [(b"\x01note\0", 0), ((700).to_bytes(8, "little"), 0)])])
+    back, told, facts = ogg.decode(media)
+    assert (back, told, facts["stamps_ms"]) == (data, 700, [0, 38, 96])
+
+
+def test_null_and_damaged_media_have_a_result(spark):
+    good = ogg.encode(ogg.payload(b"abc"), 3)
+    bad = bytearray(good)
+    bad[60] ^= 1
+    rows = [(1, 3, good), (2, None, good), (3, 4, good), (4, 3, bytes(bad)), (5, 3, good[:50]), (6, 3, b""), (7, None, None), (None, 3, b"x"), (9, 3, plain_pages([(ogg.SAMPLES, [(b"", 0)]), (ogg.NOTES, [(b"", 0)])]))]
+    got = {r.doc_id: r for r in ogg.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].payload_bytes == got[2].payload_bytes == 192 and got[2].n_bytes == 3
+    assert got[7].feature == "no media" and got[7].media_sha256 is None
+    for i in (3, 4, 5, 6, None, 9):
+        assert got[i].feature.startswith("damaged: ") and got[i].payload_sha256 is None and got[i].media_bytes == len(dict((d, m) for d, _, m in rows)[i])
+
+
 def test_page_text(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     for r in queries.op5_main_text(spark, data).collect():
@@ -159,6 +192,38 @@ def test_page_parts():
     assert html_text.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+PARAGRAPH = "A paragraph of the article, with some words, and commas, long enough to count as text of its own."
+
+
+def test_pages_without_article_elements():
+    body = f"<p>{PARAGRAPH} One.</p><p>{PARAGRAPH} Two.</p>"
+    want = [f"{PARAGRAPH} One.", f"{PARAGRAPH} Two."]
+    lines = lambda page: html_text.extract(page).split("\n")
+    wrap = lambda x: f"<body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div id=page><div class='post'>{x}</div><div class=sidebar><p>{PARAGRAPH}</p></div></div><footer>{PARAGRAPH}</footer></body>"
+    assert lines(wrap(body)) == want
+    assert lines(wrap(f"<header><h2>Headline</h2></header>{body}")) == ["Headline", *want]
+    # names that may belong to an article's sections
+    for name in ("discussion", "copyright-law", "related-work"):
+        assert lines(wrap(f"{body}<div id='{name}'><p>{PARAGRAPH} Three.</p><p>{PARAGRAPH} Four.</p></div>")) == [*want, f"{PARAGRAPH} Three.", f"{PARAGRAPH} Four."]
+    # names that do not
+    for name in ("comments", "share-buttons", "ad", "cookie-notice", "related-posts", "newsletter-signup", "relatedPosts"):
+        assert lines(wrap(f"{body}<div class='{name}'><p>{PARAGRAPH} Three.</p></div>")) == want
+    assert lines(f"<article>{body}<div><a href=1>One more story to read</a> <a href=2>Another story to read</a></div></article>") == want
+    assert lines(f"<article>{body}<ul><li><a href=1>One more story to read</a></li><li><a href=2>Another</a></li></ul></article>") == want
+    assert lines(f"<article>{body}<p><a href=1>The source of this</a></p></article>") == [*want, "The source of this"]
+    # sections: points reach all ancestors
+    deep = "<div>" * 12 + f"<section>{body}</section><section><h2>More</h2><p>{PARAGRAPH} Three.</p><p>short</p></section>" + "</div>" * 12
+    assert lines(wrap(deep)) == [*want, "More", f"{PARAGRAPH} Three.", "short"]
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<span>x</b>", "<p><b>", "<li>", "<a href='x", '<a "', "<header>", "<table><tr><td>", "</div>", "<div class=ad>x", "&amp", "<!--", "<![", "<svg>", "x, ", "<ul><li>a</ul></p>", "<a>", "<dl><dd><dt>"])
+def test_hostile_pages_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece)) + f"<p>{PARAGRAPH}</p>"
+    began = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - began < 8
+
+
 def plain_statistics(text):
     words = WORD.findall(text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
