@@ -13,27 +13,21 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from .common import doc_frame, per_row
+from .license_templates import TEMPLATES
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Templates of common notices, by label.
-TEMPLATES = {
-    "mit-notice": "[[this {{4}} is]] released under the [[terms of the]] mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software [[and to permit persons to whom the software is furnished to do so]] subject to the following conditions",
-    "apache-2.0": "licensed under the apache license [[version]] 2 0 [[the license]]",
-    "gpl-3.0": "licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]]",
-    "gpl-2.0": "licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[of the license]]",
-    "cc-by-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by [[nc]] [[sa]] [[nd]] 4 0",
-    "cc-by-nc": "licensed under [[a]] [[the]] [[creative commons]] cc by nc [[sa]] [[nd]] {{1}} 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "copyright": "copyright [[c]] [[©]] {{6}} all rights reserved",
-}
-
 _WORD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in (x + 32 if 65 <= x <= 90 else x for x in range(256)))
-_PHRASES = {f" {p} ".encode(): label for p, label in PHRASES.items()}
-#: A text without any of these holds neither phrase nor template; each template names one of its mandatory words.
-_NEEDLES = (b"license", b"licensed", b"cc by", b"hereby granted", b"redistribution", b"rights reserved")
+_PHRASES = [(p.encode().split(), label) for p, label in PHRASES.items()]
+
+
+def markup(template: str) -> list[str]:
+    """``[[``, ``]]``, ``{{n}}`` and words, as texts are split into words."""
+    out: list[str] = []
+    for mark, text in re.findall(r"(\[\[|\]\]|\{\{\d+\}\})|([^\[\]{}]+)", template):
+        out += [mark] if mark else text.encode().translate(_WORD).decode().split()
+    return out
 
 
 class Automaton:
@@ -45,8 +39,7 @@ class Automaton:
         self.n = 1
         opened: list[int] = []
         at = 0
-        self.mandatory = 0
-        for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        for token in markup(template):
             if token == "[[":
                 opened.append(at)
             elif token == "]]":
@@ -60,7 +53,6 @@ class Automaton:
             else:
                 self.words.append((at, token.encode(), self.n))
                 at, self.n = self.n, self.n + 1
-                self.mandatory += not opened
         self.final = at
         closure = [{s} for s in range(self.n)]
         for s in range(self.n - 1, -1, -1):  # free edges go forward
@@ -92,35 +84,47 @@ class Automaton:
 
 
 @lru_cache(maxsize=1)
-def automata() -> dict[str, Automaton]:
-    return {label: Automaton(t) for label, t in TEMPLATES.items()}
+def _starts() -> tuple[dict[bytes, list[tuple[list[bytes], str]]], dict[bytes, list[tuple[str, Automaton]]]]:
+    """Phrases, and templates, by each word that they may begin with."""
+    phrases: dict[bytes, list[tuple[list[bytes], str]]] = {}
+    for words, label in _PHRASES:
+        phrases.setdefault(words[0], []).append((words, label))
+    templates: dict[bytes, list[tuple[str, Automaton]]] = {}
+    for label, template in TEMPLATES.items():
+        machine = Automaton(template)
+        if b"" in machine.first or machine.final in machine.start:
+            raise ValueError(f"template {label} must begin with a word")
+        for word in machine.first:
+            templates.setdefault(word, []).append((label, machine))
+    return phrases, templates
 
 
 def scan_license(text: bytes) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int]], float]:
-    """(words, phrases with the word each starts at, template matches (label, first word, end), best score)."""
-    flat = text.translate(_WORD)
-    words = flat.split()
-    low = b" ".join(words) if any(n in flat for n in (b"license", b"redistribution", b"rights", b"hereby", b" cc ", b"cc")) else b""
-    if not any(n in low for n in _NEEDLES):
+    """(words, phrases with the word each starts at, template matches (label, first word, end), best score).
+
+    Words are gone through once; from each word that a template may begin with, its automaton runs no further than the
+    template is long. Matches of one template do not overlap.
+    """
+    words = text.translate(_WORD).split()
+    phrases, templates = _starts()
+    if templates.keys().isdisjoint(words) and phrases.keys().isdisjoint(words):
         return len(words), [], [], 0.0
-    line = b" " + low + b" "
-    places = []
-    for phrase, label in _PHRASES.items():
-        at = line.find(phrase)
-        while at >= 0:
-            places.append((label, line.count(b" ", 0, at)))
-            at = line.find(phrase, at + 1)
-    found, score = [], 1.0 if places else 0.0
-    for label, machine in automata().items():
-        taken = 0
-        for i, w in enumerate(words):
-            if i >= taken and (w in machine.first or b"" in machine.first):
+    places: list[tuple[str, int]] = []
+    found: list[tuple[str, int, int]] = []
+    taken: dict[str, int] = {}
+    score = 0.0
+    for i, w in enumerate(words):
+        for phrase, label in phrases.get(w, ()):
+            if words[i : i + len(phrase)] == phrase:
+                places.append((label, i))
+        for label, machine in templates.get(w, ()):
+            if i >= taken.get(label, 0):
                 end, part = machine.match(words, i)
                 score = max(score, part if part >= 0.5 else 0.0)
                 if end is not None:
                     found.append((label, i, end))
-                    taken = end
-    return len(words), sorted(places, key=lambda x: (x[1], x[0])), found, score
+                    taken[label] = end
+    return len(words), places, found, 1.0 if places else score
 
 
 def _row(doc_id, text):
@@ -129,7 +133,7 @@ def _row(doc_id, text):
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, places, templates, score) for every row; repeated rows give repeated results.
+    """(doc_id, n_words, places, templates, score) for every row; repeated rows give repeated results, an empty table none.
 
     places: fixed phrases as (label, word); templates: matches as (label, word, end). score is 1 for a phrase or a full
     match, the share of the template passed for a partial one of at least half, else 0. Null and empty texts: 0 words.
