@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -39,39 +40,59 @@ _KEYS = (b"passw", b"secret", b"token", b"api")
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
-def char_class(s: str) -> str:
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+#: What a character's kind rules out, as bits: the letters a-f, g-z, A-F, G-Z, the digits 2-7, the other digits, marks.
+_KINDS = {c: k for k, of in enumerate(("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "234567", "0189", "+/_=-")) for c in of}
+
+
+def _class_of(n: list[int]) -> str | None:
+    """The narrowest class that holds a window with so many characters of each kind; None for letters of one case alone."""
+    few_low, low, few_up, up, _, odd, marks = n
+    if marks:
+        return "base64"
+    if (few_low or low) and (few_up or up):
+        return "alnum"
+    if not (low or up):
         return "hex"
-    if re.fullmatch(r"[A-Z2-7]+|[a-z2-7]+", s):
-        return "base32"
-    if re.fullmatch(r"[A-Z0-9]+|[a-z0-9]+", s):
-        return "single"
-    return "alnum" if s.isalnum() else "base64"
+    if not n[4] and not odd:
+        return None
+    return "single" if odd else "base32"
+
 
+def char_class(s: str) -> str | None:
+    """The class of the string as one window."""
+    n = [0] * 7
+    for c in s:
+        n[_KINDS[c]] += 1
+    return _class_of(n)
 
-def entropy_runs(s: str, window: int = WINDOW, least: float | None = None) -> list[tuple[int, int]]:
-    """Maximal [start, end) covered by windows whose entropy reaches the class's bits.
 
-    One count changes by one when a character enters or leaves, so each step costs two table lookups.
+def entropy_runs(s: str, window: int = WINDOW, least: float | dict[str, float] | None = None) -> list[tuple[int, int]]:
+    """Maximal [start, end) covered by windows whose entropy reaches the bits of the window's own class.
+
+    When a character enters or leaves, one count of its own and one of its kind change by one, so a step costs a few
+    table lookups whatever the window, and a key that is glued to a word is judged by its own characters.
     """
-    least = LEAST_BITS[char_class(s)] if least is None else least
+    bits = least if isinstance(least, dict) else LEAST_BITS if least is None else dict.fromkeys(LEAST_BITS, least)
     if len(s) < window:
         return []
     term = _TERM if window == WINDOW else [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
     counts: dict[str, int] = {}
+    kinds = [0] * 7
     total = 0.0  # sum of n log n; entropy = log2(window) - total / window
-    most = (math.log2(window) - least) * window + 1e-9
+    most = {k: (math.log2(window) - x) * window + 1e-9 for k, x in bits.items()}
     out: list[tuple[int, int]] = []
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        total += term[n + 1] - term[n] if n < window else 0.0
-        counts[c] = n + 1
         if i >= window:
             old = s[i - window]
             m = counts[old]
-            total += term[m - 1] - term[m] if m <= window else 0.0
+            total += term[m - 1] - term[m]
             counts[old] = m - 1
-        if i >= window - 1 and total <= most:
+            kinds[_KINDS[old]] -= 1
+        n = counts.get(c, 0)
+        total += term[n + 1] - term[n]
+        counts[c] = n + 1
+        kinds[_KINDS[c]] += 1
+        if i >= window - 1 and (kind := _class_of(kinds)) and total <= most[kind]:
             a = i - window + 1
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
@@ -80,20 +101,6 @@ def entropy_runs(s: str, window: int = WINDOW, least: float | None = None) -> li
     return out
 
 
-def _entropy_exact(s: str, window: int, least: float) -> list[tuple[int, int]]:
-    """The plain form of :func:`entropy_runs`, for tests."""
-    out: list[tuple[int, int]] = []
-    for a in range(len(s) - window + 1):
-        part = s[a : a + window]
-        h = -sum(part.count(c) / window * math.log2(part.count(c) / window) for c in set(part))
-        if h >= least - 1e-9:
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], a + window)
-            else:
-                out.append((a, a + window))
-    return out
-
-
 def base_spans(data: bytes, text: str | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns, by start and then kind; code points, end exclusive."""
     low = data.lower()
@@ -113,15 +120,15 @@ def base_spans(data: bytes, text: str | None = None) -> list[tuple[str, int, int
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def entropy_spans(data: bytes, text: str | None = None) -> list[tuple[str, int, int]]:
+def entropy_spans(data: bytes, text: str | None = None, least: dict[str, float] | None = None, allowed: Sequence[re.Pattern] = ALLOWED) -> list[tuple[str, int, int]]:
     if b"h" * WINDOW not in data.translate(_RUN_MAP):
         return []
     text = data.decode("utf-8", "replace") if text is None else text
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not any(rule.fullmatch(s) for rule in ALLOWED):
-            out += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_runs(s)]
+        if not any(rule.fullmatch(s) for rule in allowed):
+            out += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_runs(s, least=least)]
     return out
 
 
@@ -129,19 +136,20 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _scan(doc_id, data: bytes):
-    base = base_spans(data)
-    spans = sorted(base + entropy_spans(data), key=lambda x: (x[1], KINDS.index(x[0])))
-    return doc_id, base, spans
-
-
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: dict[str, float] | None = None, allowed: Sequence[re.Pattern] = ALLOWED) -> DataFrame:
     """(doc_id, base, spans): each an array of (kind, start, end), for every row; repeated rows give repeated results.
 
-    base has the fixed patterns alone, spans also the windows of high entropy. Null and empty texts have no spans.
+    base has the fixed patterns alone, spans also the windows of high entropy: ``least`` bits a character by class
+    (LEAST_BITS), in candidates that match none of ``allowed`` as a whole. Null and empty texts have no spans; an empty
+    table gives an empty result.
     """
     span = "array<struct<kind:string,start:int,end:int>>"
-    return per_row(doc_frame(docs, id_col, text_col), lambda d, t: _as_dicts(*_scan(d, t)), f"doc_id long, base {span}, spans {span}")
+
+    def scan(doc_id, data):
+        base = base_spans(data)
+        return _as_dicts(doc_id, base, sorted(base + entropy_spans(data, None, least, allowed), key=lambda x: (x[1], KINDS.index(x[0]))))
+
+    return per_row(doc_frame(docs, id_col, text_col), scan, f"doc_id long, base {span}, spans {span}")
 
 
 def _as_dicts(doc_id, base, spans):

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import math
 import os
 import random
 import re
@@ -40,12 +41,57 @@ def test_base_secrets_equal_the_plain_patterns(spark, data):
     assert any(r.n_assign for r in got.values())
 
 
+def plain_class(w):
+    if re.fullmatch("[a-z]+|[A-Z]+", w) and not re.fullmatch("[a-f]+|[A-F]+", w):
+        return None
+    for name, pattern in (("hex", "[0-9a-f]+|[0-9A-F]+"), ("base32", "[A-Z2-7]+|[a-z2-7]+"), ("single", "[A-Z0-9]+|[a-z0-9]+"), ("alnum", "[A-Za-z0-9]+")):
+        if re.fullmatch(pattern, w):
+            return name
+    return "base64"
+
+
+def plain_entropy_runs(s, window, least):
+    """Every window on its own."""
+    covered = set()
+    for a in range(len(s) - window + 1):
+        w = s[a : a + window]
+        kind = plain_class(w)
+        h = -sum(w.count(c) / window * math.log2(w.count(c) / window) for c in set(w))
+        if kind and h >= least[kind] - 1e-9:
+            covered.add(a)
+    out = []
+    for a in sorted(covered):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], a + window)
+        else:
+            out.append((a, a + window))
+    return out
+
+
 def test_entropy_counts_are_incremental():
     rng = random.Random(1)
-    for _ in range(200):
-        s = "".join(rng.choice(string.ascii_letters[: rng.randint(1, 50)]) for _ in range(rng.randint(0, 60)))
-        for least in (2.5, 3.0, 3.9):
-            assert secrets.entropy_runs(s, 20, least) == secrets._entropy_exact(s, 20, least)
+    alphabets = ("abcdef0123456789", "ABCDEF0123456789", string.ascii_lowercase, string.ascii_uppercase + "234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/_=-")
+    for _ in range(400):
+        s = "".join("".join(rng.choice(rng.choice(alphabets)) if rng.random() < 0.05 else rng.choice(of) for _ in range(rng.randint(0, 40))) for of in rng.choices(alphabets, k=3))
+        for least in (secrets.LEAST_BITS, dict.fromkeys(secrets.LEAST_BITS, 2.5), dict.fromkeys(secrets.LEAST_BITS, 3.9)):
+            assert secrets.entropy_runs(s, 20, least) == plain_entropy_runs(s, 20, least)
+
+
+def test_all_spans_equal_brute_force(spark, data, texts):
+    got = {r.doc_id: r.spans for r in queries.op9_secrets(spark, data).collect()}
+    for i, t in texts.items():
+        want = [(int(x.split(":")[1]), secrets.KINDS.index(x.split(":")[0]), x) for x in base_secrets(t)]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+            if not any(rule.fullmatch(m[0]) for rule in secrets.ALLOWED):
+                want += [(m.start() + a, 3, f"entropy:{m.start() + a}:{m.start() + b}") for a, b in plain_entropy_runs(m[0], 20, secrets.LEAST_BITS)]
+        assert got[i] == ",".join(x for _, _, x in sorted(want))
+
+
+def test_a_key_glued_to_a_word_is_found():
+    key = "f3a9c07be1d84526f3a90c7b"
+    ((_, a, b),) = [x for x in secrets.entropy_spans(f"myverylongvariablename_{key}".encode()) if x[0] == "entropy"][-1:]
+    assert b - a >= 20
+    assert secrets.entropy_spans(f"myverylongvariablename_{key}".encode(), allowed=()) and not secrets.entropy_spans(key.encode(), least=dict.fromkeys(secrets.LEAST_BITS, 5.0))
 
 
 def test_entropy_spans_and_allow_list():
