@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import TYPE_CHECKING
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.registry import Value, cast
-from tessera.operators.expressions import GroupBinder, RowBinder, has_aggregate
+from tessera.operators.expressions import GroupBinder, RowBinder, children, has_aggregate, refuse_windows
 from tessera.plans import nodes as n
 from tessera.plans.scope import Attr, Bound, Relation, Resolver, Scope, fresh
 from tessera.types import INTEGER, Array, Struct, merge_or_integer, settled, to_spark
@@ -24,6 +25,8 @@ class Planner:
     def __init__(self, spark: SparkSession, catalog: Catalog) -> None:
         self.spark, self.catalog = spark, catalog
         self.unnamed = 0
+        #: Views that are being read, outermost first.
+        self.open_views: list[tuple[str, ...]] = []
 
     # Queries
 
@@ -84,6 +87,7 @@ class Planner:
         if node.where is not None:
             if has_aggregate(node.where):
                 raise ValueError("Invalid WHERE expression: aggregates are not allowed")
+            refuse_windows(node.where, "WHERE")
             df = df.where(rows.boolean(node.where, "WHERE expression"))
         items = self.items(node.items, rows)
         grouped = bool(node.group) or any(has_aggregate(v) for v, _ in items) or (node.having is not None and has_aggregate(node.having))
@@ -96,6 +100,7 @@ class Planner:
             if not isinstance(binder, GroupBinder):
                 binder = GroupBinder(rows, [(n.Attribute(a.id, a.type), a) for r in scope.relations for a in r.attrs])
             binder.aliases = {name: v for v, name in items}
+            refuse_windows(node.having, "HAVING", binder.aliases)
             having = binder.boolean(node.having, "HAVING expression")
         if grouped:
             assert isinstance(binder, GroupBinder)
@@ -107,9 +112,13 @@ class Planner:
                 df = df.groupBy(*keys).agg(*(aggregates or [F.count(F.lit(1)).alias(fresh())]))
         if having is not None:
             df = df.where(having)
-        totals = (binder.totals if grouped else rows.totals + (binder.totals if binder is not rows else []))
+        binders = [binder] if grouped or binder is rows else [rows, binder]
+        totals, arrays = ([x for b in binders for x in of(b)] for of in (lambda b: b.totals, lambda b: b.arrays))
+        whole = df
         if totals:
-            df = df.crossJoin(F.broadcast(df.agg(*[col.alias(i) for i, col in totals])))  # one row
+            df = df.crossJoin(F.broadcast(whole.agg(*[col.alias(i) for i, col in totals])))  # one row of scalars
+        if arrays:  # one row too, but as large as all rows: Spark's own size check decides how it travels
+            df = df.crossJoin(whole.agg(*[col.alias(i) for i, col in arrays]))
         attrs = [Attr(name, settled(v.type), fresh()) for v, (_, name) in zip(values, items)]
         df = df.select(*[cast(v, a.type).alias(a.id) for v, a in zip(values, attrs)])
         return Bound(df.distinct() if node.distinct else df, attrs)
@@ -167,6 +176,10 @@ class Planner:
         for join in joins:
             if join.kind not in JOINS:
                 raise NotImplementedError(f"Join type {join.kind} is not supported")
+            lateral = self.lateral(df, join, scope, ctes)
+            if lateral is not None:
+                df, scope = lateral
+                continue
             bound, alias = self.source(join.right, ctes, outer)
             if any(r.alias == alias for r in scope.relations):
                 raise ValueError(f"Duplicate table alias {alias} in the same FROM clause")
@@ -174,6 +187,7 @@ class Planner:
             scope = Scope([*left.relations, right], outer)
             how = JOINS[join.kind]
             if join.on is not None:
+                refuse_windows(join.on, "JOIN conditions")
                 on = RowBinder(self, scope, ctes).boolean(join.on, "JOIN condition")
             elif join.using:
                 on = self.using(join.using, left, right, scope, ctes)
@@ -228,20 +242,51 @@ class Planner:
         assert isinstance(source, n.Unnest)
         return self.unnest(source, ctes), alias
 
+    def lateral(self, df: DataFrame, join: n.Join, scope: Scope, ctes: dict[str, Bound]) -> tuple[DataFrame, Scope] | None:
+        """A join with UNNEST of an array that the row itself holds: its elements beside the row. None for any other join."""
+        source = join.right.source
+        if not isinstance(source, n.Unnest) or not (names := names_in(source.array)) or not any(scope.find_all(x.path) for x in names):
+            return None
+        if join.kind not in ("CROSS", "INNER", "LEFT") or join.using or (join.kind == "LEFT" and join.on is not None):
+            raise NotImplementedError("UNNEST of a column is a comma, CROSS or INNER join, or a LEFT join without a condition")
+        value = RowBinder(self, scope, ctes).bind(source.array)
+        self.unnamed += 1
+        alias = join.right.alias or f"__join{self.unnamed}"
+        if any(r.alias == alias for r in scope.relations):
+            raise ValueError(f"Duplicate table alias {alias} in the same FROM clause")
+        rows = F.explode_outer if join.kind == "LEFT" else F.explode
+        attrs, fields = self.elements(value)
+        item = fresh()
+        df = df.select("*", rows(value.col).alias(item)).select("*", *[f(F.col(item)).alias(a.id) for f, a in zip(fields, attrs)]).drop(item)
+        if alias == join.right.alias and len(attrs) == 1 and attrs[0].name == "f0_":
+            attrs = [Attr(alias, attrs[0].type, attrs[0].id)]  # an element goes by the alias itself
+        scope = Scope([*scope.relations, Relation(alias, attrs)], scope.outer)
+        if join.on is not None:
+            df = df.where(RowBinder(self, scope, ctes).boolean(join.on, "JOIN condition"))
+        return df, scope
+
     def unnest(self, node: n.Unnest, ctes: dict[str, Bound]) -> Bound:
         value = RowBinder(self, Scope(), ctes).bind(node.array)
+        attrs, fields = self.elements(value)
+        df = self.spark.tvf.explode(value.col).toDF("x")
+        return Bound(df.select(*[f(F.col("x")).alias(a.id) for f, a in zip(fields, attrs)]), attrs)
+
+    def elements(self, value: Value) -> tuple[list[Attr], list[Callable[[Column], Column]]]:
+        """The columns that an array's elements make, and how each comes from an element."""
         if not isinstance(value.type, Array):
             raise ValueError(f"UNNESTing a non-array-typed value: {value.type}")
-        df = self.spark.tvf.explode(value.col).toDF("x")
         element = value.type.element
         if not isinstance(element, Struct):
-            attr = Attr("f0_", element, fresh())
-            return Bound(df.select(F.col("x").alias(attr.id)), [attr])
+            return [Attr("f0_", element, fresh())], [lambda x: x]
         attrs, unnamed = [], 0
         for name, kind in zip(element.names, element.types):
             attrs.append(Attr(name or f"f{unnamed}_", kind, fresh()))
             unnamed += name is None
-        return Bound(df.select(*[F.col("x").getField(f"_{i}").alias(a.id) for i, a in enumerate(attrs, 1)]), attrs)
+        return attrs, [lambda x, i=i: x.getField(f"_{i}") for i in range(1, len(attrs) + 1)]
+
+
+def names_in(node: n.Node) -> list[n.Name]:
+    return [node] if isinstance(node, n.Name) else [x for c in children(node) for x in names_in(c)]
 
 
 def typed_scan(df: DataFrame, fields: list[tuple[str, object]]) -> Bound:

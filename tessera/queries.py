@@ -45,6 +45,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "not_expr": ("SELECT s_suppkey FROM supplier WHERE NOT s_acctbal > 0 AND NOT (s_nationkey = 3 OR s_nationkey = 4)", None),
     "null_logic": ("SELECT o_orderkey, IF(o_orderstatus = 'F', NULL, TRUE) AND o_totalprice > 1000 AS a, IF(o_orderstatus = 'F', NULL, 1) = 1 AS b FROM orders", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE TRUE END AND o_totalprice > 1000 AS a, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 1 END = 1 AS b FROM orders"),
     "like_between": ("SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_size BETWEEN 5 AND 20 AND p_brand NOT LIKE 'Brand#1%'", None),
+    "is_true": ("SELECT o_orderkey, (o_totalprice > 100000) IS TRUE AS a, IF(o_orderstatus = 'F', NULL, o_totalprice > 100000) IS NOT FALSE AS b FROM orders", "SELECT o_orderkey, o_totalprice > 100000 AS a, o_orderstatus = 'F' OR o_totalprice > 100000 AS b FROM orders"),
     # HAVING
     "having_alias": ("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING n > 12", None),
     "having_aggregate": ("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND MIN(o_totalprice) > 1000", None),
@@ -90,6 +91,9 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "group_by_null_key": ("SELECT r_name, COUNT(*) AS n FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n_regionkey = r_regionkey GROUP BY r_name", None),
     "array_agg": ("SELECT n_regionkey, ARRAY_AGG(n_name ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey::BIGINT AS n_regionkey, ARRAY_AGG(n_name ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "array_agg_limit": ("SELECT ARRAY_AGG(n_name ORDER BY n_name DESC LIMIT 3)[OFFSET(0)] AS last, ARRAY_AGG(n_name ORDER BY n_name LIMIT 3)[ORDINAL(2)] AS second FROM nation", "SELECT MAX(n_name) AS last, (ARRAY_AGG(n_name ORDER BY n_name))[2] AS second FROM nation"),
+    "array_agg_mixed_order": ("SELECT o_custkey, ARRAY_AGG(o_orderkey ORDER BY o_orderstatus DESC, o_orderkey)[ORDINAL(1)] AS first FROM orders GROUP BY o_custkey", "SELECT o_custkey, ARRAY_AGG(o_orderkey ORDER BY o_orderstatus DESC, o_orderkey)[1] AS first FROM orders GROUP BY o_custkey"),
+    "array_agg_distinct_order": ("SELECT n_regionkey, ARRAY_AGG(DISTINCT MOD(n_nationkey, 3) ORDER BY MOD(n_nationkey, 3) DESC LIMIT 2)[OFFSET(0)] AS most FROM nation GROUP BY n_regionkey", "SELECT n_regionkey::BIGINT AS n_regionkey, MAX(n_nationkey % 3)::BIGINT AS most FROM nation GROUP BY ALL"),
+    "agg_no_from": ("SELECT SUM(2) AS s, COUNT(*) AS n, MAX('a') AS m, SUM(1) + 1 AS t", "SELECT 2::BIGINT AS s, 1::BIGINT AS n, 'a' AS m, 2::BIGINT AS t"),
     # Windows
     "win_row_number": ("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders", None),
     "win_row_number_desc": ("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderkey ASC) AS rn FROM orders", None),
@@ -102,9 +106,11 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "win_over_agg": ("SELECT o_orderstatus, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, COUNT(*) AS n, (SUM(COUNT(*)) OVER ())::BIGINT AS total FROM orders GROUP BY o_orderstatus"),
     "win_global": ("SELECT o_orderkey, COUNT(*) OVER () AS n, MAX(o_totalprice) OVER () AS top FROM orders", None),
     "win_partition_expr": ("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY MOD(o_custkey, 7), EXTRACT(YEAR FROM o_orderdate) ORDER BY o_orderkey) AS rn FROM orders", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey % 7, extract(year FROM o_orderdate) ORDER BY o_orderkey) AS rn FROM orders"),
+    "win_array_agg": ("SELECT n_nationkey, ARRAY_AGG(n_regionkey) OVER (PARTITION BY n_regionkey)[ORDINAL(1)] AS r FROM nation", "SELECT n_nationkey::BIGINT AS n_nationkey, n_regionkey::BIGINT AS r FROM nation"),
+    "win_array_agg_all": ("SELECT r_regionkey, ARRAY_AGG(7) OVER ()[ORDINAL(5)] AS x, SUM(r_regionkey) OVER () AS s FROM region", "SELECT r_regionkey::BIGINT AS r_regionkey, 7::BIGINT AS x, (SUM(r_regionkey) OVER ())::BIGINT AS s FROM region"),
     # Order and limit
-    "order_by_multi": ("SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC, c_custkey LIMIT 50", None),
-    "order_by_ordinal": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY 1 DESC LIMIT 20", None),
+    "order_by_multi": ("SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC, c_custkey", None),
+    "order_by_ordinal": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY 1 DESC", None),
     "limit_offset": ("SELECT event_id FROM events ORDER BY event_id LIMIT 10 OFFSET 25", None),
     "top_k": ("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25", None),
     # Set operations and CTEs
@@ -113,7 +119,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "union_distinct": ("SELECT c_nationkey AS k FROM customer UNION DISTINCT SELECT s_nationkey FROM supplier", "SELECT c_nationkey::BIGINT AS k FROM customer UNION SELECT s_nationkey::BIGINT FROM supplier"),
     "intersect_distinct": ("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT DISTINCT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000", "SELECT c_nationkey::BIGINT AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey::BIGINT FROM supplier WHERE s_acctbal > 5000"),
     "except_distinct": ("SELECT n_nationkey AS k FROM nation EXCEPT DISTINCT SELECT s_nationkey FROM supplier WHERE s_acctbal > 2000", "SELECT n_nationkey::BIGINT AS k FROM nation EXCEPT SELECT s_nationkey::BIGINT FROM supplier WHERE s_acctbal > 2000"),
-    "set_op_order": ("SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region ORDER BY x LIMIT 7", None),
+    "set_op_order": ("SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region ORDER BY x", None),
     "cte_simple": ("WITH big AS (SELECT * FROM orders WHERE o_totalprice > 300000) SELECT o_orderstatus, COUNT(*) AS n FROM big GROUP BY o_orderstatus", None),
     "cte_chain": ("WITH a AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT n, COUNT(*) AS m FROM a GROUP BY n) SELECT * FROM b", None),
     "cte_shadowing": ("WITH q1 AS (SELECT r_regionkey + 1 AS b FROM region WHERE r_regionkey = 1) SELECT * FROM (WITH q2 AS (SELECT b + 1 AS c FROM q1), q3 AS (SELECT b + 2 AS d FROM q1), q1 AS (SELECT b + 4 AS e FROM q1), q4 AS (SELECT e + 8 AS f FROM q1) SELECT e, c, d, f FROM q1, q2, q3, q4)", "SELECT 6::BIGINT AS e, 3::BIGINT AS c, 4::BIGINT AS d, 14::BIGINT AS f"),
@@ -137,6 +143,10 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "array_literal": ("SELECT n_name, [n_nationkey, 7][OFFSET(0)] AS a, ARRAY<FLOAT64>[1, 2.5][ORDINAL(2)] AS b FROM nation", "SELECT n_name, n_nationkey::BIGINT AS a, 2.5::DOUBLE AS b FROM nation"),
     "struct_typeless": ("SELECT STRUCT(n_name AS x, n_nationkey AS y).x AS a, STRUCT(n_nationkey AS y, 1).y AS b FROM nation", "SELECT n_name AS a, n_nationkey::BIGINT AS b FROM nation"),
     "struct_typed": ("SELECT STRUCT<x FLOAT64, y STRING>(n_nationkey, n_name).x AS a FROM nation", "SELECT n_nationkey::DOUBLE AS a FROM nation"),
+    "array_of_struct": ("SELECT n_name, [STRUCT(n_nationkey AS k, n_name AS s), (1, 'x')][OFFSET(0)].k AS a, ARRAY<STRUCT<k INT64, s STRING>>[(2, n_name)][ORDINAL(1)].s AS b FROM nation", "SELECT n_name, n_nationkey::BIGINT AS a, n_name AS b FROM nation"),
+    "unnest_column": ("SELECT k, x FROM (SELECT n_nationkey AS k, [n_regionkey, 7] AS xs FROM nation) t, UNNEST(t.xs) AS x WHERE x > 1", "SELECT n_nationkey::BIGINT AS k, x::BIGINT AS x FROM (SELECT n_nationkey, unnest([n_regionkey, 7]) AS x FROM nation) WHERE x > 1"),
+    "unnest_column_left": ("SELECT k, a, b FROM (SELECT n_nationkey AS k, IF(n_regionkey = 0, NULL, [STRUCT(n_regionkey AS a, n_name AS b)]) AS xs FROM nation) LEFT JOIN UNNEST(xs) e", "SELECT n_nationkey::BIGINT AS k, nullif(n_regionkey, 0)::BIGINT AS a, CASE WHEN n_regionkey <> 0 THEN n_name END AS b FROM nation"),
+    "unnest_column_on": ("SELECT k, x FROM (SELECT n_nationkey AS k, n_regionkey AS r, [1, 2, 3] AS xs FROM nation) t JOIN UNNEST(xs) x ON x = r", "SELECT n_nationkey::BIGINT AS k, n_regionkey::BIGINT AS x FROM nation WHERE n_regionkey BETWEEN 1 AND 3"),
     "unnest_scalar": ("SELECT f0_ AS x FROM UNNEST([1, 2, 3])", "SELECT unnest([1, 2, 3])::BIGINT AS x"),
     "unnest_struct": ("SELECT x, y, f0_ AS z FROM UNNEST([STRUCT<x INT64, y STRING, BOOL>(1, 'a', TRUE), (2, 'b', FALSE)])", "SELECT * FROM (VALUES (1::BIGINT, 'a', TRUE), (2::BIGINT, 'b', FALSE)) t(x, y, z)"),
     "unnest_join": ("SELECT n_name, f0_ AS k FROM nation JOIN UNNEST([1, 2]) u ON n_regionkey = f0_", "SELECT n_name, n_regionkey::BIGINT AS k FROM nation WHERE n_regionkey IN (1, 2)"),
@@ -224,12 +234,61 @@ def _write(disposition: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalog lists, after tables were made, replaced by a DataFrame and deleted, as rows of what a job returns."""
+    c = client(spark, sf_dir, "nation region")
+    one = c.dataset("tpch").table("one")
+    c.create_table(Table(one, [SchemaField("a", "INT64"), SchemaField("b", "STRING")]))
+    c.insert_rows(one, [{"a": 1, "b": "x"}])
+    c.set_table_dataframe(c.get_table_dataframe("proj", "tpch", "one").selectExpr("a + 1", "b || 'y'"), "proj", "tpch", "one")
+    c.create_table(Table(c.dataset("tpch").table("two"), [SchemaField("a", "INT64")]))
+    c.delete_table(c.dataset("tpch").table("two"))
+    ((a, b),) = [(row["a"], row["b"]) for row in c.query("SELECT * FROM one").result()]
+    found = [("dataset", d.dataset_id, None) for d in c.list_datasets()] + [("table", t.table_id, len(c.get_table(t.reference).schema)) for t in c.list_tables(c.dataset("tpch"))] + [("row", b, a)]
+    return spark.createDataFrame(found, "kind string, name string, n long")
+
+
+#: Statements that must be refused when they are bound.
+REFUSED = (
+    "SELECT n_name, COUNT(*) AS n FROM nation GROUP BY n_regionkey",
+    "SELECT MAX(n_name, 1) AS m FROM nation",
+    "SELECT SUM(n_name) AS m FROM nation",
+    "SELECT ROW_NUMBER() AS r FROM nation",
+    "SELECT n_name FROM nation WHERE ROW_NUMBER() OVER (ORDER BY n_name) = 1",
+    "SELECT n_regionkey FROM nation GROUP BY n_regionkey HAVING SUM(COUNT(*)) OVER () > 2",
+    "SELECT n_name AS select FROM nation",
+    "SELECT n_name FROM nation WHERE n_name = ?",
+    "SELECT n_name FROM nation nation nation",
+    "SELECT 1 + 'a' AS x",
+)
+
+
+def _refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = client(spark, sf_dir, "nation")
+
+    def refused(sql: str) -> bool:
+        try:
+            c.query(sql)
+        except Exception:
+            return True
+        return False
+
+    return spark.createDataFrame([(i, refused(sql)) for i, sql in enumerate(REFUSED)], "i long, refused boolean")
+
+
+def _trailing_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client(spark, sf_dir, "region").query("SELECT r_regionkey, r_name, FROM region").to_dataframe()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(sql) for name, (sql, _) in STATEMENTS.items()} | {
     "array_agg_nulls": _array_agg_nulls,
     "ctas_roundtrip": _ctas,
     "create_replace_view": _create_replace,
     "insert_rows_roundtrip": _insert,
     "csv_load_roundtrip": _csv,
+    "catalog_roundtrip": _catalog,
+    "refusals": _refusals,
+    "trailing_comma": _trailing_comma,
     "write_append": _write("WRITE_APPEND"),
     "write_truncate": _write("WRITE_TRUNCATE"),
 }
@@ -240,6 +299,9 @@ ORACLE_SQL: dict[str, str] = {name: other or sql for name, (sql, other) in STATE
     "create_replace_view": "SELECT r_name AS x FROM region WHERE r_regionkey > 0",
     "insert_rows_roundtrip": "SELECT * FROM (VALUES (1::BIGINT, 2.5::DOUBLE, FALSE), (3, NULL, TRUE), (5, 6.5, FALSE), (7, 8.25, TRUE)) t(a, b, none)",
     "csv_load_roundtrip": "SELECT * FROM (VALUES (789::BIGINT, '756', 5::DOUBLE, FALSE, DATE '2010-11-12', TIMESTAMP '2018-12-11 11:11:11.222222', 23::BIGINT), (NULL, NULL, NULL, TRUE, NULL, NULL, NULL)) t(num, id, height, likes, d, dt, x1)",
+    "catalog_roundtrip": "SELECT * FROM (VALUES ('dataset', 'tpch', NULL::BIGINT), ('table', 'nation', 3), ('table', 'region', 2), ('table', 'one', 2), ('row', 'xy', 2)) t(kind, name, n)",
+    "refusals": f"SELECT i, TRUE AS refused FROM range({len(REFUSED)}) t(i)",
+    "trailing_comma": "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region",
     "write_append": "SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region",
     "write_truncate": "SELECT r_name AS x FROM region",
 }

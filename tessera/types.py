@@ -76,14 +76,17 @@ def to_spark(t: Type) -> T.DataType:
 
 
 def from_spark(t: T.DataType) -> Type:
-    """Integers widen to INTEGER and other numbers to FLOAT; what the dialect lacks is a ValueError."""
+    """Integers widen to INTEGER and floats to FLOAT; what the dialect lacks is a ValueError.
+
+    Decimals are such: as FLOAT they would lose digits, so whoever registers them must cast them.
+    """
     if isinstance(t, T.ArrayType):
         return Array(from_spark(t.elementType))
     if isinstance(t, T.StructType):
         return Struct(tuple(f.name for f in t.fields), tuple(from_spark(f.dataType) for f in t.fields))
     if isinstance(t, T.IntegralType):
         return INTEGER
-    if isinstance(t, (T.FractionalType,)):
+    if isinstance(t, (T.FloatType, T.DoubleType)):
         return FLOAT
     if isinstance(t, (T.CharType, T.VarcharType)):
         return STRING
