@@ -30,7 +30,7 @@ FENCE = 3.0
 #: Words at which a text's own length and the differences between texts add as much to the spread of log perplexities.
 EVEN_WORDS = 300
 #: Steps of a log perplexity in which quartiles are counted, so that they are exact and the same in every run.
-STEPS = 10_000
+STEPS = 1000
 #: Rules of the base verdict.
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
