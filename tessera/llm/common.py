@@ -34,8 +34,12 @@ def doc_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of long documents must fit a Python worker."""
+    """Small Arrow batches, in rows and in bytes: a batch of long documents must fit a Python worker.
+
+    These two settings of the session stay, since plans read them when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def arrow_map(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
@@ -78,11 +82,14 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset and all runs in one process (tests)."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     if not getattr(spark.sparkContext, "_tessera_scratch", None):
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(path)
@@ -113,13 +120,20 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`written` that nothing reads any more."""
+    """Delete tables made by :func:`written` that nothing reads any more.
+
+    Shuffles of the jobs that wrote and read them are garbage then too. Spark deletes their files when the driver's JVM
+    collects its garbage, which a small heap may do too seldom for the executors' disks, so it is asked to.
+    """
+    spark = None
     for df in frames:
         path = getattr(df, "_tessera_path", None)
         if path:
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 #: UTF-8 continuation bytes: a text has as many code points as it has other bytes.

@@ -201,6 +201,7 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFr
     of = of.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("largest"), *(F.sum(c).alias(c) for c in ("n", "x", "y"))).where("kinds > 1")
     open_ = written(of.groupBy("n", "x", "y").agg(F.min(F.struct("key", "main", "largest")).alias("one")).select("one.*", "n"), "open")
     rows = written(placed.join(open_, "key").select("key", "node", "label", "main", "n", "largest"), "open")
+    discard(open_)
     sets = texts.join(rows.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "signature"), "node")
     sets = written(per_row(sets.select("node", "signature", "text"), lambda n, g, t: (n, g, shingles(t, width).tobytes()), "node long, signature binary, shingles binary"), "sets")
     rows = rows.join(sets, "node")
@@ -264,6 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(stars).distinct()
     signatures = nodes.select("node", "signature")
     pairs = written(_near(pairs, signatures, most), "pairs")
+    discard(buckets)
 
     # Texts of the nodes that any bucket pairs: the rest of the corpus is not needed again.
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
@@ -272,14 +274,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
     links = written(_confirmed(pairs, texts, width, percent), "links")
+    discard(pairs)
     labels = components(links)
+    discard(links)
     late = written(_rest(members.select("key", "node"), labels, nodes, texts, most, width, percent), "late")
     if late.limit(1).count():
         # what is a star already goes in as one
         joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(late))
         discard(labels)
         labels = joined
-    discard(late, links, texts, members, buckets, pairs)
+    discard(late, texts, members)
 
     placed = signed.join(labels, "node", "left").select("doc_id", "digest", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))

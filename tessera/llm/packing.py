@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, doc_frame, written
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 WINDOW = 2048
 #: Tokens that a shard holds; its index and ids fit a worker many times over.
 SHARD_TOKENS = 2_000_000
-#: BM25 parameters, and how many of a seed's best terms are looked up.
+#: BM25 parameters, and how many of a seed's heaviest terms are looked up by default.
 K1, B, QUERY_TERMS = 1.2, 0.75, 12
 #: Words whose ids a worker remembers at most.
 CACHE_WORDS = 600_000
@@ -120,10 +120,15 @@ class WordTokenizer:
         return np.concatenate([np.array(e.ids, "<u2") for e in self.merges.encode_batch_fast(shown, add_special_tokens=False)])
 
 
+def resolved(path: str) -> str:
+    """A tokenizer's file: a bare name means the installed vocabulary, wherever this machine has it."""
+    return path if os.path.dirname(path) else public_tokenizers.path(path)
+
+
 def tokenizer(path: str) -> WordTokenizer:
     """One for each worker process."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = WordTokenizer(resolved(path))
     return _tokenizers[path]
 
 
@@ -187,16 +192,16 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
 
 
 class Index:
-    """BM25 over the documents of a shard."""
+    """BM25 over the documents of a shard; a document asks by its ``query_terms`` heaviest terms, or by all if None."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None = QUERY_TERMS) -> None:
         terms, weights, owners, self.queries = [], [], [], []
         for i, ids in enumerate(docs):
             s = np.sort(ids, kind="stable")
             first = np.flatnonzero(_first(s))
             t, tf = s[first], np.diff(np.append(first, len(s)))
             w = (idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length)))).astype(np.float32)
-            best = np.argpartition(w, -QUERY_TERMS)[-QUERY_TERMS:] if len(w) > QUERY_TERMS else np.arange(len(w))
+            best = np.argpartition(w, -query_terms)[-query_terms:] if query_terms is not None and len(w) > query_terms else np.arange(len(w))
             self.queries.append(t[best])
             terms.append(t)
             weights.append(w)
@@ -208,7 +213,7 @@ class Index:
         self.scores = np.zeros(len(docs), np.float32)
 
     def neighbours(self, i: int, unused: np.ndarray, most: int = 16) -> list[int]:
-        """Unused documents that share a query term with document i, best first."""
+        """The ``most`` best unused documents that share a query term with document i, best first; whoever needs more asks again."""
         scores, starts = self.scores, self.starts
         scores[:] = 0
         for t in self.queries[i].tolist():
@@ -222,9 +227,9 @@ class Index:
         return [j for j in top.tolist() if scores[j] > 0]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW, query_terms: int | None = QUERY_TERMS) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """(full windows, the last one's pieces if it isn't full); a piece is (document, start, length)."""
-    index = Index(docs, idf, mean_length) if docs else None
+    index = Index(docs, idf, mean_length, query_terms) if docs else None
     unused = np.ones(len(docs), bool)
     full: list[list[tuple[int, int, int]]] = []
     now: list[tuple[int, int, int]] = []
@@ -287,12 +292,14 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, query_terms: int | None = QUERY_TERMS) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset, copy), one row for each piece.
 
     ids: the piece's token ids as little-endian unsigned 32-bit integers. A document's ids are its text's (null: none)
     and the end id, so each has one piece at least. Sequences have ``window`` ids or a power of two of them. Each row of
-    ``docs`` is a document: repeated rows are packed each and numbered by ``copy``, and a null id stays null. An empty table gives no pieces.
+    ``docs`` is a document: repeated rows are packed each and numbered by ``copy``, and a null id stays null. An empty
+    table gives no pieces. ``query_terms`` bounds the terms by which a seed looks for neighbours, which changes what
+    stands beside it but never what is packed; None looks by all of them, at several times the cost.
     """
     rows = doc_frame(docs, id_col, text_col)
     table = written(tokenize(rows.withColumn("place", F.xxhash64("text", "doc_id")), path), "tokens")
@@ -332,13 +339,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 held.append((d, copy, np.frombuffer(x, "<u2"), 0))
                 size += len(x) // 2
                 if size >= 2 * shard_tokens:
-                    full, rest = pack_shard([x for _, _, x, _ in held], shared.value, mean, window)
+                    full, rest = pack_shard([x for _, _, x, _ in held], shared.value, mean, window, query_terms)
                     yield from rows_of(full)
                     # The last pieces run to their documents' ends, so they go on as documents of the next shard.
                     held = [(*held[i][:2], held[i][2][at:], held[i][3] + at) for i, at, _ in rest]
                     size = sum(len(x) for _, _, x, _ in held)
         if held:
-            full, rest = pack_shard([x for _, _, x, _ in held], shared.value, mean, window)
+            full, rest = pack_shard([x for _, _, x, _ in held], shared.value, mean, window, query_terms)
             yield from rows_of(full + powers_of_two(rest))
 
     order = ("first", "second", "place", "doc_id")

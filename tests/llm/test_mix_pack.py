@@ -101,7 +101,7 @@ def test_first_words():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return Tokenizer.from_file(packing.TOKENIZER)
+    return Tokenizer.from_file(packing.resolved(packing.TOKENIZER))
 
 
 def check_pack(rows, texts, tokenizer, ids_of=lambda r: r.ids_crc32):
@@ -156,34 +156,57 @@ def test_word_tokenizer_gives_the_tokenizers_ids(tokenizer):
     odd = ["Hello, it's the 'SAVE they're I'LL x'd 12345 a_b__c!!'s <|endoftext|>x <|start <|ENDOFTEXT|>", "Éèç Ÿ Œuvre İstanbul ŉ ſ a×b ÷ Straße ẞ ΣΑΣ ς", "\x00\x1c a\x1cb \x85 x\xa0y q́ 'T̈ é ﬁ ½ ² 中文字 😀 \x7f", "", "  "]
     for _ in range(400):
         odd.append("".join(chr(int(c)) for c in rng.choice(np.concatenate((np.arange(1, 0x180), np.arange(0x300, 0x370), np.arange(0x3B0, 0x3D0), [32] * 60)), 40)))
-    words = packing.WordTokenizer(packing.TOKENIZER)
+    words = packing.WordTokenizer(packing.resolved(packing.TOKENIZER))
     for _ in range(2):
         for t, ids in zip(odd, words.encode([t.encode() for t in odd])):
             assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_retrieval_ranks_by_bm25():
+@pytest.mark.parametrize("terms", [None, 12])
+def test_retrieval_ranks_by_bm25(terms):
+    """Against BM25 over the seed's whole document, or over its heaviest terms as computed here."""
     rng = np.random.default_rng(3)
-    docs = [rng.integers(0, 300, 60).astype("<u2") for _ in range(40)]
+    docs = [rng.zipf(1.3, rng.integers(20, 90)).clip(0, 300).astype("<u2") for _ in range(40)]
+    mean = float(np.mean([len(d) for d in docs]))
     df = np.zeros(1 << 16)
     for d in docs:
         df[np.unique(d)] += 1
     idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
-    index = packing.Index(docs, idf, 60.0)
+    index = packing.Index(docs, idf, mean, terms)
     unused = np.ones(40, bool)
     unused[5] = False
 
-    def score(q, d):
-        total = 0.0
-        for t in index.queries[q].tolist():
-            tf = int((docs[d] == t).sum())
-            total += float(idf[t]) * tf * (packing.K1 + 1) / (tf + packing.K1)
-        return total
+    def weight(t, d):
+        tf = int((docs[d] == t).sum())
+        return float(idf[t]) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean))
 
     for q in range(40):
-        want = sorted((j for j in range(40) if j not in (q, 5) and score(q, j) > 0), key=lambda j: -score(q, j))[:16]
+        asked = sorted(set(docs[q].tolist()), key=lambda t: -weight(t, q))
+        if terms and len(asked) > terms and abs(weight(asked[terms - 1], q) - weight(asked[terms], q)) < 1e-6:
+            continue  # equal terms at the border: either may be taken
+        score = lambda d: sum(weight(t, d) for t in asked[:terms])  # noqa: B023, E731
+        want = sorted((s for j in range(40) if j not in (q, 5) and (s := score(j)) > 0), reverse=True)[:16]
         got = index.neighbours(q, unused)
-        assert [round(score(q, j), 3) for j in got] == [round(score(q, j), 3) for j in want]
+        assert [round(score(j), 3) for j in got] == [round(s, 3) for s in want]
+
+
+def test_neighbours_in_a_window_are_alike(spark, data, tokenizer):
+    """Documents that share a window share more of their rarer ids than documents at random."""
+    data = data.replace("sf0.001", "sf0.01")
+    ids = {r.doc_id: set(tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    df = collections.Counter(t for s in ids.values() for t in s)
+    rare = {i: {t for t in s if df[t] <= len(ids) // 50} for i, s in ids.items()}
+    alike = lambda a, b: len(rare[a] & rare[b]) / max(1, min(len(rare[a]), len(rare[b])))
+    windows = collections.defaultdict(list)
+    for r in queries.op3_packing(spark, data).collect():
+        windows[r.sequence_id].append((r.offset, r.doc_id))
+    pairs = [(a[1], b[1]) for w in windows.values() for a, b in [(sorted(w)[0], x) for x in sorted(w)[1:]] if a[1] != b[1]]
+    rng = np.random.default_rng(9)
+    every = list(ids)
+    chance = np.mean([alike(*rng.choice(every, 2, replace=False)) for _ in range(4000)])
+    together = np.mean([alike(a, b) for a, b in pairs])
+    print("shared rare ids: in windows", round(float(together), 3), "at random", round(float(chance), 3))
+    assert together > 2 * chance
 
 
 def test_powers_of_two():
