@@ -24,7 +24,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
 MAX_REPEATS = 3
 #: Rows of a source that one task sums.
-ROWS_PER_BUCKET = 8192
+ROWS_PER_BUCKET = 2048
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -68,7 +68,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Documents that are not taken have an empty list and a null position. Within a source documents stand in the order of
     a seeded hash of id and text, so reruns agree; repeated rows are separate documents that tie, which leaves the same
     set of results. A null source is a source of its own, last in order; a null id is allowed. Empty sources get 0.
-    One row for each source reaches the driver, whatever the number of documents.
+    One row for each source reaches the driver, whatever the number of documents: sources are few named collections, not
+    domains, and their targets depend on each other.
     """
     spark = docs.sparkSession
     tune(spark)

@@ -6,10 +6,11 @@ differs in at most floor(d / m) of its own, so indexing every chunk with each al
 every such pair: with K = 48, m = 9, d = 17 that is every pair under the distance, and two documents at similarity 0.85
 are further apart with a chance of about 1 in 10,000.
 
-Groups of copies are never expanded into all pairs. A bucket's members are first compared with its hub alone. Where that
-leaves a bucket in several components, its members outside the largest one meet the others inside the tasks that hold
-the bucket: signatures first, then full sets, and a task joins what it finds linked, so that a component is met once.
-Every pair under the distance thus ends either compared on full sets or inside one component, and only links leave a task.
+Groups of copies are never expanded into all pairs. At first only whole chunks are indexed, and a bucket's members are
+compared with its hub alone, which joins most copies. Then the full index is built, and only buckets that still hold
+several components go on: their members outside the largest one meet the others inside the tasks that hold the bucket,
+signatures first, then full sets, and a task joins what it finds linked, so that a component is met once. Every pair
+under the distance thus ends either compared on full sets or inside one component, and only links leave a task.
 """
 
 from __future__ import annotations
@@ -110,17 +111,31 @@ def sign(rows: DataFrame, width: int, k: int) -> DataFrame:
     return per_row(rows, of, SIGNED)
 
 
-def _keyed(nodes: DataFrame, k: int, chunks: int) -> DataFrame:
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+def chunk_keys(signatures: np.ndarray, chunks: int) -> np.ndarray:
+    """(n, chunks) 64-bit keys: of each whole chunk."""
+    n, k = signatures.shape
+    out = np.empty((n, chunks), np.uint64)
+    for c, (a, b) in enumerate(chunk_bounds(k, chunks)):
+        h = np.full(n, c + 1, np.uint64)
+        for i in range(a, b):
+            h = _mix(h * _MIX + signatures[:, i].astype(np.uint64))
+        out[:, c] = h
+    return out
+
+
+def _keyed(nodes: DataFrame, k: int, chunks: int, keys_of=index_keys) -> DataFrame:
+    """(node, label, size, key) of ``nodes`` (node, label, size, signature)."""
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("node", "label", "size")), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(n, k)
-            keys = pa.array(index_keys(s, chunks).reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), keys)], names=["node", "keys"])
+            keys = keys_of(s, chunks)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "size")), each], names=schema.names)
 
-    return nodes.select("node", "signature").mapInArrow(run, schema).select("node", F.explode("keys").alias("key"))
+    return nodes.select("node", "label", "size", "signature").mapInArrow(run, schema).select("node", "label", "size", F.explode("keys").alias("key"))
 
 
 def _distance(a: bytes, b: bytes) -> int:
@@ -189,25 +204,16 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, most: int, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components of one bucket; ``members`` are (key, node) of buckets of three or more.
+def _rest(members: DataFrame, open_: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one bucket; ``members`` are (key, node, label) of the buckets in ``open_``.
 
-    Of buckets with the same members one is taken. Each member outside its bucket's largest component meets every member
-    of another component, block against block, so no task holds more than two blocks of a bucket whatever its size.
-    Members at signature distance ``most`` or less are compared on full sets where they meet, until they are joined.
+    Each member outside its bucket's largest component meets every member of another component, block against block, so
+    no task holds more than two blocks of a bucket whatever its size. Members at signature distance ``most`` or less are
+    compared on full sets where they meet, until they are joined.
     """
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    of = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("y"))
-    of = of.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("largest"), *(F.sum(c).alias(c) for c in ("n", "x", "y"))).where("kinds > 1")
-    open_ = written(of.groupBy("n", "x", "y").agg(F.min(F.struct("key", "main", "largest")).alias("one")).select("one.*", "n"), "open")
-    rows = written(placed.join(open_, "key").select("key", "node", "label", "main", "n", "largest"), "open")
-    discard(open_)
-    sets = texts.join(rows.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "signature"), "node")
-    sets = written(per_row(sets.select("node", "signature", "text"), lambda n, g, t: (n, g, shingles(t, width).tobytes()), "node long, signature binary, shingles binary"), "sets")
-    rows = rows.join(sets, "node")
-    bytes_of = rows.groupBy("key").agg(F.sum(F.length("shingles")).alias("bytes"), F.sum(F.when(F.col("label") != F.col("main"), F.length("shingles")).otherwise(0)).alias("few_bytes"))
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
-    rows = rows.join(bytes_of, "key").withColumns({"across": blocks(F.col("n"), F.col("bytes")), "down": blocks(F.col("n") - F.col("largest"), F.col("few_bytes"))})
+    sizes = open_.select("key", "main", blocks(F.col("n"), F.col("bytes")).alias("across"), blocks(F.col("n") - F.col("largest"), F.col("bytes") - F.col("main_bytes")).alias("down"))
+    rows = members.drop("size").join(sizes, "key").join(sets, "node")
     mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     cell = F.xxhash64("key", "i", "j").alias("cell")
@@ -251,39 +257,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = max_distance(chunks)
     rows = doc_frame(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
     signed = written(sign(rows, width, k), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "digest")).alias("at"))
-    nodes = written(nodes.select("node", "signature", "at.doc_id", "at.digest"), "nodes")
-
-    keyed = _keyed(nodes, k, chunks)
+    nodes = signed.where("node is not null").groupBy("node").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("size"), F.min(F.struct("doc_id", "digest")).alias("at"))
+    nodes = written(nodes.select("node", "signature", "size", "at.doc_id", "at.digest"), "nodes")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, signature, text) of the nodes ``wanted``; the rest of the corpus is not needed again."""
+        at = wanted.distinct().join(nodes, "node").select("node", "signature", F.col("doc_id").alias("of"), F.col("digest").alias("with"))
+        found = rows.join(at, rows["doc_id"].eqNullSafe(at["of"]) & (rows["digest"] == at["with"]))
+        return written(found.select("node", "signature", "text").dropDuplicates(["node"]), "texts")
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links among ``pairs`` (a, b), and the texts of their nodes."""
+        near = written(_near(pairs, nodes.select("node", "signature"), most), "pairs")
+        texts = texts_of(near.select(F.col("a").alias("node")).union(near.select("b")))
+        links = written(_confirmed(near, texts.select("node", "text"), width, percent), "links")
+        discard(near)
+        return links, texts
+
+    # Whole chunks: buckets' members against their hubs, which stand in the largest buckets.
+    keyed = _keyed(nodes.withColumn("label", F.col("node")), k, chunks, chunk_keys).drop("label", "size")
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
     buckets = written(buckets, "buckets")
     members = written(keyed.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = members.join(weight, "node")
-    hubs = weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    hubs = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
     stars = members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(stars).distinct()
-    signatures = nodes.select("node", "signature")
-    pairs = written(_near(pairs, signatures, most), "pairs")
-    discard(buckets)
-
-    # Texts of the nodes that any bucket pairs: the rest of the corpus is not needed again.
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
-    wanted = wanted.join(nodes, "node").select("node", F.col("doc_id").alias("of"), F.col("digest").alias("with"))
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["of"]) & (rows["digest"] == wanted["with"]))
-    texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-
-    links = written(_confirmed(pairs, texts, width, percent), "links")
-    discard(pairs)
+    two = lambda of: of.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    links, texts = linked(two(buckets).union(stars).distinct())
     labels = components(links)
-    discard(links)
-    late = written(_rest(members.select("key", "node"), labels, nodes, texts, most, width, percent), "late")
-    if late.limit(1).count():
+    discard(buckets, members, links, texts)
+
+    # The full index: what is still apart in a bucket. Of buckets with the same members one is taken.
+    placed = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "size", "signature")
+    keyed = _keyed(placed, k, chunks)
+    marks = [F.sum(F.shiftright(F.xxhash64("node", F.lit(i)), 24)).alias(x) for i, x in enumerate("xy")]
+    mixed = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("label").alias("least"), F.max("label").alias("most"), *marks)
+    mixed = written(mixed.where("least <> most"), "mixed")
+    more = mixed.where("n > 2").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = written(keyed.join(more, "key"), "members")
+    late, texts = linked(two(mixed).distinct())
+    discard(texts)
+
+    texts = texts_of(members.select("node"))
+    sets = written(per_row(texts, lambda n, g, t: (n, g, shingles(t, width).tobytes()), "node long, signature binary, shingles binary"), "sets")
+    discard(texts)
+    of = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes"))
+    size = F.struct("n", "label")
+    open_ = of.groupBy("key").agg(F.max_by("label", size).alias("main"), F.max("n").alias("largest"), F.max_by("bytes", size).alias("main_bytes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    open_ = written(open_, "open")
+    more_late = written(_rest(members, open_, sets, most, percent), "late")
+    every = late.union(more_late)
+    if every.limit(1).count():
         # what is a star already goes in as one
-        joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(late))
+        joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(every))
         discard(labels)
         labels = joined
-    discard(late, texts, members)
+    discard(late, more_late, mixed, members, open_, sets)
 
     placed = signed.join(labels, "node", "left").select("doc_id", "digest", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))

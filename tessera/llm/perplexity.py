@@ -29,8 +29,8 @@ from .common import arrow_map, code_points, discard, quoted, splits, tune, writt
 FENCE = 3.0
 #: Words at which a text's own length and the differences between texts add as much to the spread of log perplexities.
 EVEN_WORDS = 300
-#: Steps of a log perplexity in which quartiles are counted, so that they are exact and the same in every run.
-STEPS = 1000
+#: Steps of a log perplexity by symbol, and by word, in which quartiles are counted, so that they are the same in every run.
+STEPS = {"core": 1000, "word_core": 100}
 #: Rules of the base verdict.
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -491,15 +491,15 @@ def _spread(n: Column) -> Column:
     return F.sqrt(1 / F.greatest(n, F.lit(1)) + 1 / EVEN_WORDS)
 
 
-def _quarters(rows: DataFrame, value: Column, *which: int) -> DataFrame:
+def _quarters(rows: DataFrame, value: Column, per_unit: int, *which: int) -> DataFrame:
     """(of, q1, ...) by lang: the value that so many quarters of the rows do not exceed.
 
-    They are exact for values in steps of 1 / STEPS, by histograms, so reruns agree and no task holds all values.
+    They are exact for values in steps of 1 / ``per_unit``, by histograms, so reruns agree and no task holds all values.
     """
-    steps = rows.groupBy("lang", F.floor(value * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    steps = rows.groupBy("lang", F.floor(value * per_unit).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("lang")
     steps = steps.select("lang", "step", F.sum("n").over(whole.orderBy("step")).alias("upto"), F.sum("n").over(whole).alias("all"))
-    return steps.groupBy(F.col("lang").alias("of")).agg(*((F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("step"))) / STEPS).alias(f"q{k}") for k in which))
+    return steps.groupBy(F.col("lang").alias("of")).agg(*((F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("step"))) / per_unit).alias(f"q{k}") for k in which))
 
 
 def bands(scored: DataFrame, fence: float = FENCE) -> DataFrame:
@@ -510,9 +510,9 @@ def bands(scored: DataFrame, fence: float = FENCE) -> DataFrame:
     good = scored.where(~F.col("base_failed"))
     out = None
     for c in MEASURES:
-        middle = _quarters(good, F.col(c), 2).select("of", F.col("q2").alias(f"{c}_middle"))
+        middle = _quarters(good, F.col(c), STEPS[c], 2).select("of", F.col("q2").alias(f"{c}_middle"))
         placed = good.join(F.broadcast(middle), good["lang"].eqNullSafe(middle["of"])).drop("of")  # one row for each language
-        q = _quarters(placed, (F.col(c) - F.col(f"{c}_middle")) / _spread(F.col("n_words")), 1, 3)
+        q = _quarters(placed, (F.col(c) - F.col(f"{c}_middle")) / _spread(F.col("n_words")), STEPS[c], 1, 3)
         width = fence * (F.col("q3") - F.col("q1"))
         q = q.select(F.col("of").alias("lang"), (F.col("q1") - width).alias(f"{c}_low"), (F.col("q3") + width).alias(f"{c}_high"))
         q = q.join(middle, q["lang"].eqNullSafe(middle["of"])).drop("of")
