@@ -180,28 +180,31 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each node's larger neighbours, then its smaller ones, are tied to the least
     neighbour instead. Every round removes edges that say the same, so there are never more than at first; when each
-    edge leads to the least node of a star, the stars are the components. A round's table goes when the next is there.
+    edge leads to the least node of a star, the stars are the components. Least neighbours are written before they are
+    joined: a node with very many edges can then be split over tasks. A table goes when nothing reads it any more.
     """
     a, b = F.col("a"), F.col("b")
     edges = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), "edges")
     while True:
         least = edges.groupBy(F.col("b").alias("u")).agg(F.lit(True).alias("center"))
-        inner = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        inner = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "inner")
         # done when every larger end has one edge and no smaller end is some edge's larger end
         open_ = inner.where("n > 1").select("a").union(inner.join(least, inner["a"] == least["u"], "left_semi").select("a"))
         if not open_.limit(1).count():
+            discard(inner)
             out = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
             out = out.union(edges.select(F.col("b"), F.col("b")).distinct())
             out._tessera_path = edges._tessera_path
             return out
         # large star: larger neighbours v of u go to the least of u and its neighbours
         large = edges.join(inner.select(F.col("a").alias("u"), "m"), edges["b"] == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = written(large, "large")
+        discard(edges, inner)
         # small star: u and its smaller neighbours go to the least of them
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        low = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "low")
         small = large.join(low, large["a"] == low["u"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        after = written(small.select("e.a", "e.b").where("a > b").distinct(), "edges")
-        discard(edges)
-        edges = after
+        edges = written(small.select("e.a", "e.b").where("a > b").distinct(), "edges")
+        discard(large, low)
 
 
 def _rest(members: DataFrame, open_: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
@@ -280,12 +283,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = written(buckets, "buckets")
     members = written(keyed.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    # written, so that the join below can split a bucket of very many members
+    hubs = written(members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub")), "hubs")
     stars = members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     two = lambda of: of.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     links, texts = linked(two(buckets).union(stars).distinct())
     labels = components(links)
-    discard(buckets, members, links, texts)
+    discard(buckets, members, hubs, links, texts)
 
     # The full index: what is still apart in a bucket. Of buckets with the same members one is taken.
     placed = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "size", "signature")
